@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, OVERLAP, GRAM, BLOCK = 0.6, 0.8, 5, 16
+#: Items of an interval at least, and intervals of an index at most.
+SPAN, MAX_SPANS = 4, 256
 K1, B = 1.2, 0.75
 #: Items of one index; a larger benchmark is searched in blocks of so many.
-INDEX_ITEMS, INDEX_CHARS = 20_000, 50_000_000
+INDEX_ITEMS, INDEX_CHARS = 4_000, 5_000_000
 _WORD = re.compile(r"\w+")
 _ANSWER = re.compile(r"(?s)^(.*\S)\s*(?:\n|(?<=[.!?])\s)\s*(\S.*)$")
 
@@ -43,10 +47,14 @@ def grams(ws: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Postings by term, sorted by item, in blocks that each keep their largest impact."""
+    """Postings by term, sorted by item, in blocks that each keep their largest impact; intervals of items keep theirs.
+
+    Items are numbered by length, so that an interval's items have impacts of one size and its bounds are tight.
+    """
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.threshold = threshold
+        items = sorted(items, key=lambda x: (len(words(x[1])), x[0]))
         self.ids = [i for i, _ in items]
         self.parts = [split_item(t or "") for _, t in items]
         docs = [q + a for q, a in self.parts]
@@ -69,27 +77,29 @@ class Index:
                 ids, xs, _ = self.postings[self.vocabulary[t]]
                 ids.append(i)
                 xs.append(x / whole)
-        self.upper = np.zeros(len(self.postings) + 1)  # the last: words of no item
+        self.upper = np.zeros(len(self.postings))
         for t, (ids, xs, tops) in enumerate(self.postings):
             tops += [max(xs[b : b + BLOCK]) for b in range(0, len(xs), BLOCK)]
             self.upper[t] = max(xs)
-        # Terms by falling frequency that together cannot reach the threshold for any item: a hit has others besides.
-        held, self.rare = np.zeros(len(docs)), self.upper.copy()
-        for t in sorted(range(len(self.postings)), key=lambda t: -len(self.postings[t][0])):
-            ids, xs, _ = self.postings[t]
-            more = held.copy()
-            more[ids] += xs
-            if more.max() >= threshold / 2:
-                break
-            held, self.rare[t] = more, 0.0
-        self.least_rare = threshold - (held.max() if len(docs) else 0.0) - 1e-9
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: every item whose score for a passage of these distinct terms reaches the threshold."""
-        found, least = [], self.threshold - 1e-9
-        lists = [[self.postings[t][0][0], 0, t] for t in terms]
+        # Largest impact of each term, and of words of no item, in each interval of items.
+        self.span = max(SPAN, -(-len(docs) // MAX_SPANS))
+        self.tops = np.zeros((len(self.postings) + 1, max(1, -(-len(docs) // self.span))), dtype="float32")
+        for t, (ids, xs, _) in enumerate(self.postings):
+            np.maximum.at(self.tops[t], np.array(ids) // self.span, np.array(xs, dtype="float32"))
+
+    def live(self, terms: np.ndarray) -> np.ndarray:
+        """Intervals whose items could reach the threshold for a passage of these terms."""
+        return np.flatnonzero(self.tops[terms].sum(0) >= self.threshold - 1e-4)
+
+    def search(self, terms: list[int], first: int = 0, end: int | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: every item from first to before end whose score for a passage of these distinct terms reaches the threshold."""
+        found, least, end = [], self.threshold - 1e-9, len(self.ids) if end is None else end
+        starts = ((t, bisect_left(self.postings[t][0], first)) for t in terms)
+        lists = [[self.postings[t][0][p], p, t] for t, p in starts if p < len(self.postings[t][0])]
         while lists:
             lists.sort()
+            if lists[0][0] >= end:
+                break
             total, pivot = 0.0, -1
             for n, (_, _, t) in enumerate(lists):
                 total += self.upper[t]
@@ -101,6 +111,8 @@ class Index:
             item = lists[pivot][0]
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
+            if item >= end:
+                break
             bound, after = 0.0, None
             for at in lists[: pivot + 1]:
                 ids, _, tops = self.postings[at[2]]
@@ -109,8 +121,8 @@ class Index:
                     block += 1
                 if block < len(tops):
                     bound += tops[block]
-                    end = ids[min((block + 1) * BLOCK, len(ids)) - 1] + 1
-                    after = end if after is None else min(after, end)
+                    past = ids[min((block + 1) * BLOCK, len(ids)) - 1] + 1
+                    after = past if after is None else min(after, past)
             if bound < least:  # no item up to the end of the nearest block can reach it
                 to = max(item + 1, after or 0)
                 if pivot + 1 < len(lists):
@@ -151,37 +163,20 @@ class Index:
         if not ws or not self.ids:
             return []
         none = len(self.postings)
-        ids = np.fromiter(map(self.vocabulary.get, ws, _Endless(none)), dtype=np.int64, count=len(ws))
-        rare = np.concatenate([[0.0], np.cumsum(self.rare[ids])])
+        ids = np.fromiter(map(self.vocabulary.get, ws, repeat(none)), dtype=np.int64, count=len(ws))
         step = max(32, self.longest)
-        starts = np.arange(0, max(1, len(ws) - step), step)
-        ends = np.minimum(starts + 2 * step, len(ws))
         best: dict[int, tuple[float, float, float]] = {}
-        for s, e in zip(starts[keep := rare[ends] - rare[starts] >= self.least_rare], ends[keep]):
-            terms = np.unique(ids[s:e])
-            terms = terms[terms < none]
-            if self.upper[terms].sum() < self.threshold - 1e-9:
-                continue
-            for item, score in self.search(terms.tolist()):
-                question, answer = self.verify(item, ws[s:e])
-                if question >= OVERLAP and answer >= OVERLAP and (item not in best or best[item] < (score, question, answer)):
-                    best[item] = (score, question, answer)
+        for s in range(0, max(1, len(ws) - step), step):
+            terms = np.unique(ids[s : s + 2 * step])
+            for interval in self.live(terms):
+                passage, first = ws[s : s + 2 * step], int(interval) * self.span
+                for item, score in self.search(terms[terms < none].tolist(), first, first + self.span):
+                    question, answer = self.verify(item, passage)
+                    if question >= OVERLAP and answer >= OVERLAP and (item not in best or best[item] < (score, question, answer)):
+                        best[item] = (score, question, answer)
         return [(self.ids[i], *best[i]) for i in sorted(best)]
 
 
-class _Endless:
-    """The same value again and again."""
-
-    def __init__(self, value: int):
-        self.value = value
-
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return self.value
-
-
 def indexes(benchmark: DataFrame) -> list[Index]:
     """Indexes over blocks of at most INDEX_ITEMS items and INDEX_CHARS code points; items without a word are left out.
 

@@ -191,6 +191,8 @@ def test_wand_finds_all_above_the_threshold():
             passage = [rng.choice(vocabulary) for _ in range(rng.randint(1, 60))]
             terms = sorted({index.vocabulary[w] for w in passage if w in index.vocabulary})
             found = dict(index.search(terms))
+            live = [x for i in index.live(np.array(terms, dtype=int)) for x in index.search(terms, int(i) * index.span, (int(i) + 1) * index.span)]
+            assert sorted(live) == sorted(found.items())
             want = {i: s for i, s in brute_scores(index, passage).items() if s >= threshold}
             assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-9 for i in want)
 
