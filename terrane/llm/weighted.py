@@ -15,24 +15,28 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SAMPLES = 32
+#: Samples drawn in one aggregate; more would make code that the JVM does not compile.
+BLOCK = 4
 #: Rows of a doc_id range, within which rows are put in order.
-RANGE_ROWS = 4000
+RANGE_ROWS = 2000
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _uniform(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(0xFFFFFFFF) + F.lit(0.5)) / F.lit(2.0**32)
 
 
-def _sample(k: int) -> Column:
-    """Of a row (term hash, ln weight): the sort key of ln a in the upper half, the sampled (term, t) in the lower."""
-    h1, h2, h3 = (F.xxhash64("term", F.lit(3 * k + i)) for i in range(3))
+def _sample(k: Column) -> Column:
+    """Of a row (term hash, ln weight) and sample k: the sort key of ln a in the upper half, the sampled (term, t) in the lower."""
+    h1 = F.xxhash64("term", k)
+    h2 = F.xxhash64(h1)
     r = -F.ln(_uniform(h1, 0) * _uniform(h1, 32))
     ln_c = F.ln(-F.ln(_uniform(h2, 0) * _uniform(h2, 32)))
-    beta = _uniform(h3, 0)
+    beta = _uniform(F.xxhash64(h2), 0)
     t = F.floor(F.col("ln_w") / r + beta)
     ln_a = ln_c - r * (t - beta + 1)
     order = F.least(F.greatest(((ln_a + 600.0) * 2.0**20).cast("long"), F.lit(0)), F.lit(2**31 - 1))
-    return F.shiftleft(order, 32).bitwiseOR(F.xxhash64("term", t, F.lit(k)).bitwiseAND(0xFFFFFFFF))
+    return F.shiftleft(order, 32).bitwiseOR(F.xxhash64("term", t, k).bitwiseAND(0xFFFFFFFF))
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -40,12 +44,18 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
 
     A text without words has the empty word as its only term, so such texts have one common fingerprint.
     """
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    words = F.when(F.trim(F.regexp_replace(F.col("text"), r"\s+", " ")) == "", F.array(F.lit(""))).otherwise(words)
-    terms = texts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.ln(F.count("*").cast("double")).alias("ln_w"))
-    least = terms.groupBy(*keys).agg(*[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
-    digits = [F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(0xFFFFFFFF)), 8, "0") for k in range(samples)]
-    return least.select(*keys, F.lower(F.concat(*digits)).alias("sig"))
+    words = F.split(F.btrim(F.lower("text"), F.lit(BLANKS)), f"[{BLANKS}]+")
+    hashed = texts.select(*keys, F.sort_array(F.transform(words, lambda w: F.xxhash64(w))).alias("h"))
+    at = F.sequence(F.lit(1), F.size("h"))
+    runs = hashed.select(*keys, "h", F.filter(at, lambda i: (i == 1) | (F.element_at("h", i) != F.element_at("h", F.greatest(i - 1, F.lit(1))))).alias("begin"))
+    end = lambda i: F.coalesce(F.get("begin", i + 1), F.size("h") + 1)
+    counts = F.transform("begin", lambda p, i: F.struct(F.element_at("h", p).alias("term"), (end(i) - p).alias("n")))
+    terms = runs.select(*keys, F.inline(counts)).withColumn("ln_w", F.ln(F.col("n").cast("double")))
+    blocks = terms.select("*", F.explode(F.array(*[F.lit(k) for k in range(0, samples, BLOCK)])).alias("k"))
+    least = blocks.groupBy(*keys, "k").agg(*[F.min(_sample(F.col("k") + F.lit(i))).alias(f"s{i}") for i in range(BLOCK)])
+    digits = F.concat(*[F.lpad(F.hex(F.col(f"s{i}").bitwiseAND(0xFFFFFFFF)), 8, "0") for i in range(BLOCK)])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", digits.alias("d")))), lambda x: x["d"]), "")
+    return least.groupBy(*keys).agg(F.lower(joined).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
