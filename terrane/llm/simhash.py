@@ -121,3 +121,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, hot: int = HOT_SEGMENT) -> Data
     least = marked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = marked.join(least, "root").select("fp", "component_id")
     return own.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, k: int = 3) -> DataFrame:
+    """docs with their columns, one document, that of least doc_id, of each group; rows of one doc_id stay together, rows without one stay."""
+    kept = near_duplicates(docs, k).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
