@@ -1,4 +1,4 @@
-"""All queries over the reference's operators, with the SQL that an independent engine runs for each."""
+"""All queries over the library's operators, with the SQL that an independent engine runs for each."""
 
 from __future__ import annotations
 
@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its own name, with its SQL where it has one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import access, coverage, graphs, integrity, routes, texts, typology  # noqa: E402, F401  they register their queries
