@@ -127,11 +127,16 @@ def held_out():
 
 
 def train(docs: DataFrame) -> Network | None:
-    """A network from the documents of least doc_id hash that have an id, text and lang and are not held out; None without any."""
+    """A network from about SAMPLE_DOCS documents, chosen by a hash of doc_id, that have an id, text and lang and are not held out; None without any.
+
+    The chance of being chosen falls with their number, so what comes to the driver doesn't grow with the input.
+    """
     usable = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
+    chance = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
+    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**52)) / float(2**52) <= chance)
     n = F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1
     cuts = F.array(*[F.substr("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), n)).cast("int"), F.lit(EXCERPT)) for i in range(SAMPLE_WINDOWS)])
-    rows = usable.select("lang", cuts.alias("cuts"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "cuts").limit(SAMPLE_DOCS).collect()
+    rows = usable.select("lang", cuts.alias("cuts"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "cuts").limit(2 * SAMPLE_DOCS).collect()
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None
