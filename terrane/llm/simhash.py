@@ -4,6 +4,11 @@ A fingerprint has 64 bits, cut into three ring segments. Two fingerprints at mos
 pigeonring principle, a segment from which every run of l consecutive segments differs in at most 2*l/3 bits: the first
 is equal, the first two differ in at most one bit, all three in at most two. An equi-join on segments finds the starts,
 the chain's budgets prune, the full Hamming distance decides.
+
+Near copies of a Jaccard similarity of 0.8 lie far more than two of 64 bits apart, so `deduplicated` uses the same filter
+on a wide fingerprint: 2,304 bits over distinct 3-word shingles in a ring of 96 segments. A near copy differs in about
+an eighth of the bits, so several of its segments are equal by chance. A chain must start with an equal segment, its
+next 24 and 40 bits must stay within budgets, then the whole distance; the Jaccard similarity of the texts decides.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, stage
@@ -21,6 +27,16 @@ MAX_BITS = 2
 #: A segment value with more fingerprints than this is linked by masked keys instead of pairs.
 HOT_SEGMENT = 1024
 
+#: The wide fingerprint: 64-bit words, segments of 24 bits, and its shingles.
+WIDE_WORDS, WIDE_SEGMENT, WIDE_SHINGLE = 36, 24, 3
+#: Most differing bits in the 24 and the 40 bits after an equal segment, and in all 2,304. A similarity of 0.8 gives
+#: 15.2 % at most in the mean; the budgets lie three to four standard deviations above it.
+WIDE_CHAIN, WIDE_BITS = ((24, 9), (40, 13)), 430
+#: Near copies share this much of their distinct shingles of so many words.
+SIMILARITY, VERIFIED_SHINGLE = 0.8, 5
+#: A segment value with more texts than this is linked to its least text, and the rest block by block.
+HOT_TEXTS, BLOCK = 32, 128
+
 
 def shingle_hashes(text: str | None, k: int) -> list[int]:
     """XXH64 (seed 42) of the k-word shingles, repeats included, words lower-cased in A-Z; fewer words: one shingle."""
@@ -123,7 +139,142 @@ def near_duplicates(docs: DataFrame, k: int = 3, hot: int = HOT_SEGMENT) -> Data
     return own.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, k: int = 3) -> DataFrame:
-    """docs with their columns, one document, that of least doc_id, of each group; rows of one doc_id stay together, rows without one stay."""
-    kept = near_duplicates(docs, k).where("doc_id = component_id").select("doc_id").distinct()
+def wide_fingerprint(hashes: list[int]) -> list[int]:
+    """WIDE_WORDS signed longs; a bit is 1 if it is set in over half of the mixed hashes of distinct shingles; none: zeros."""
+    h = np.unique(np.array(hashes, dtype=np.uint64))
+    votes = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        lanes = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(0, len(h), 255):  # sums of bytes hold 255
+            x = h[i : i + 255, None] + lanes[None, :]
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            votes += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * votes > len(h), bitorder="little").view("<i8").tolist()
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, wide): a hash of the whole word sequence, equal for exact copies, and the wide fingerprint."""
+
+    def run(batches):
+        for b in batches:
+            words = [xxhash.xxh128_hexdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "words": words, "wide": [wide_fingerprint(shingle_hashes(t, WIDE_SHINGLE)) for t in b["text"]]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words string, wide array<long>")
+
+
+def _windows(nodes: DataFrame) -> DataFrame:
+    """(node, val, after): for each segment of the ring its number and bits, and the 40 bits after it."""
+    out = []
+    for at in range(0, 64 * WIDE_WORDS, WIDE_SEGMENT):
+        word, shift = divmod(at, 64)
+        here, then = F.col("wide")[word], F.col("wide")[(word + 1) % WIDE_WORDS]
+        out.append(F.shiftrightunsigned(here, shift).bitwiseOR(F.shiftleft(then, 64 - shift)) if shift else here)
+    low = (1 << WIDE_SEGMENT) - 1
+    cut = nodes.select("node", F.posexplode(F.array(*out)).alias("seg", "bits"))
+    return cut.select("node", (F.shiftleft(F.col("seg").cast("long"), WIDE_SEGMENT) + F.col("bits").bitwiseAND(low)).alias("val"), F.shiftrightunsigned("bits", WIDE_SEGMENT).alias("after"))
+
+
+def _words_shared(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of the distinct shingles; without any in both: 1."""
+    x, y = set(shingle_hashes(a, VERIFIED_SHINGLE)), set(shingle_hashes(b, VERIFIED_SHINGLE))
+    return _jaccard(x, y)
+
+
+def _jaccard(x: set, y: set) -> float:
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return 0.0
+    n = len(x & y)
+    return n / (len(x) + len(y) - n) if x or y else 1.0
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the candidate pairs (a, b) within WIDE_BITS and of SIMILARITY or more."""
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    wa, wb = (nodes.select(F.col("node").alias(c), F.col("wide").alias("w" + c)) for c in "ab")
+    close = stage(pairs.join(wa, "a").join(wb, "b").where(bits <= WIDE_BITS).select("a", "b").distinct(), "simhash-close")
+    ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+
+    def run(batches):
+        for b in batches:
+            yield b.loc[[_words_shared(x, y) >= SIMILARITY for x, y in zip(b["ta"], b["tb"])], ["a", "b"]]
+
+    return close.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest (a, b) of the links between the open texts of one block and all texts of another."""
+    sets = [set(shingle_hashes(t, VERIFIED_SHINGLE)) for t in pdf["text"]]
+    ids, is_open = pdf["node"].tolist(), pdf["open"].tolist()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i in (i for i, o in enumerate(is_open) if o):
+        for j in (j for j, o in enumerate(is_open) if not o):
+            if find(ids[i]) != find(ids[j]) and _jaccard(sets[i], sets[j]) >= SIMILARITY:
+                root[find(ids[i])] = find(ids[j])
+                out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between near copies that share a segment of their wide fingerprints.
+
+    nodes has (node, wide), texts (node, text). Values of up to hot texts give pairs within the chain's budgets. In
+    larger ones every text is held against the least; those that aren't its near copies are held against all others,
+    in blocks of block texts, so no pair is left out and one task sees 2 * block texts at most.
+    """
+    of = W.partitionBy("val")
+    shared = _windows(nodes).withColumns({"n": F.count("*").over(of), "least": F.min("node").over(of)}).where("n > 1")
+    shared = stage(shared, "simhash-wide")
+    cool = shared.where(F.col("n") <= hot)
+    a, b = (cool.select("val", F.col("node").alias(c), F.col("after").alias("x" + c)) for c in "ab")
+    x = F.col("xa").bitwiseXOR(F.col("xb"))
+    chain = F.lit(True)
+    for width, most in WIDE_CHAIN:
+        chain = chain & (F.bit_count(x.bitwiseAND((1 << width) - 1)) <= most)
+    pairs = a.join(b, "val").where(F.col("a") < F.col("b")).where(chain).select("a", "b")
+    large = shared.where(F.col("n") > hot).select("val", "least", "node")
+    stars = large.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    linked = stage(_verified(pairs.unionByName(stars).distinct(), nodes, texts), "simhash-linked")
+
+    is_open = large.join(linked.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti").where("least < node")
+    cut = lambda df: df.withColumn("part", F.floor((F.row_number().over(of.orderBy("node")) - 1) / block))
+    opened = stage(cut(is_open.select("val", "node")), "simhash-open")
+    members = cut(large.join(opened.select("val").distinct(), "val", "left_semi").select("val", "node"))
+    members = stage(members, "simhash-members")
+    open_parts, member_parts = (df.select("val", F.col("part").alias(c)).distinct() for df, c in ((opened, "op"), (members, "mp")))
+    rows = opened.withColumnRenamed("part", "op").join(member_parts, "val").withColumn("open", F.lit(True)).unionByName(members.withColumnRenamed("part", "mp").join(open_parts, "val").withColumn("open", F.lit(False)))
+    rest = rows.join(texts, "node").select("val", "op", "mp", "node", "open", "text").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
+    return linked.unionByName(rest)
+
+
+def copies(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, root) for each doc_id: root is the least doc_id reachable over exact and near copies, itself included.
+
+    Texts of equal words are exact copies; near copies share SIMILARITY of their distinct shingles of VERIFIED_SHINGLE
+    words (with fewer words: the whole). Null and blank texts are copies of each other; rows of one doc_id are one
+    document; rows without doc_id are left out; an empty table gives an empty result; other columns are not read.
+    """
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    own = stage(wide_fingerprints(docs), "simhash-wides")
+    least = own.groupBy("words").agg(F.min("doc_id").alias("node"), F.min_by("wide", "doc_id").alias("wide"))
+    nodes = stage(least.select("words", "node", "wide"), "simhash-texts")
+    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
+    same = own.join(nodes.select("words", "node"), "words").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    near = text_links(nodes.select("node", "wide"), texts, hot, block)
+    roots = components(near.unionByName(same.where("a <> b")), "simhash-copies")
+    return own.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+
+
+def deduplicated(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
+    """docs with their columns, one document, that of least doc_id, of each group of copies; rows of one doc_id stay together, rows without one stay."""
+    kept = copies(docs, hot, block).where("doc_id = root").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -377,6 +377,59 @@ def test_simhash_links_join_the_same_groups(spark, hot):
     assert {frozenset(g) for g in mine.values()} == set(groups.values())
 
 
+def brute_copies(rows):
+    """Least doc_id of the group of each doc_id, by all pairs of texts."""
+    def grams(text):
+        words = [w for w in re.split(r"[\x20\t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    ids, sets = [r[0] for r in rows], [grams(r[1]) for r in rows]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if x == y or (x and y and len(x & y) >= 0.8 * len(x | y)):
+                a, b = find(ids[i]), find(ids[j])
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def edited_texts():
+    """Families of near copies of rising numbers of changed words, copies of copies, and unlike texts of the same words."""
+    rng = random.Random(31)
+    words = [f"v{k}" for k in range(300)]
+    rows = []
+    for family in range(8):
+        base = [rng.choice(words) for _ in range(150 + 40 * family)]
+        for changes in range(9):
+            text = list(base)
+            for _ in range(changes):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows) * 7 % 997, " ".join(text)))
+            base = text if changes % 3 == 2 else base
+    return rows + [(2000 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(20)]
+
+
+@pytest.mark.parametrize("hot, block", [(32, 128), (1, 2)])
+def test_copies(spark, docs, rows, nothing, hot, block):
+    rows_ = [r for r in rows if r[0] is not None]
+    same(got(simhash.copies(docs, hot, block)), list(brute_copies(rows_).items()))
+    mine = edited_texts()
+    edited = spark.createDataFrame([(*r, "x") for r in mine], "doc_id long, text string, node string").repartition(3)
+    want = brute_copies(mine)
+    same(got(simhash.copies(edited, hot, block)), list(want.items()))
+    assert 28 <= len(set(want.values())) < len(want)
+    assert {r[0] for r in got(simhash.deduplicated(edited, hot, block))} == set(want.values())
+    assert simhash.deduplicated(edited).columns == edited.columns
+    assert simhash.copies(nothing, hot, block).count() == 0
+
+
 # 8: secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
