@@ -34,7 +34,7 @@ WIDE_WORDS, WIDE_SEGMENT, WIDE_SHINGLE = 36, 24, 3
 WIDE_CHAIN, WIDE_BITS = ((24, 9), (40, 13)), 430
 #: Near copies share this much of their distinct shingles of so many words.
 SIMILARITY, VERIFIED_SHINGLE = 0.8, 5
-#: A segment value with more texts than this is linked to its least text, and the rest block by block.
+#: Where a segment value has more texts than this, those not linked through its least text are compared block by block.
 HOT_TEXTS, BLOCK = 32, 128
 
 
@@ -205,9 +205,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest (a, b) of the links between the open texts of one block and all texts of another."""
+    """A forest (a, b) that joins the components (root) between which there are links from the open texts of one block to the texts of another."""
     sets = [set(shingle_hashes(t, VERIFIED_SHINGLE)) for t in pdf["text"]]
-    ids, is_open = pdf["node"].tolist(), pdf["open"].tolist()
+    ids, known, is_open = pdf["node"].tolist(), pdf["root"].tolist(), pdf["open"].tolist()
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -218,42 +218,53 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for i in (i for i, o in enumerate(is_open) if o):
         for j in (j for j, o in enumerate(is_open) if not o):
-            if find(ids[i]) != find(ids[j]) and _jaccard(sets[i], sets[j]) >= SIMILARITY:
-                root[find(ids[i])] = find(ids[j])
+            if find(known[i]) != find(known[j]) and _jaccard(sets[i], sets[j]) >= SIMILARITY:
+                root[find(known[i])] = find(known[j])
                 out.append((ids[i], ids[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _chain(xa, xb):
+    x, ok = xa.bitwiseXOR(xb), F.lit(True)
+    for width, most in WIDE_CHAIN:
+        ok = ok & (F.bit_count(x.bitwiseAND((1 << width) - 1)) <= most)
+    return ok
+
+
 def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between near copies that share a segment of their wide fingerprints.
+    """Edges (a, b) that connect the near copies that share a segment of their wide fingerprints.
 
-    nodes has (node, wide), texts (node, text). Values of up to hot texts give pairs within the chain's budgets. In
-    larger ones every text is held against the least; those that aren't its near copies are held against all others,
-    in blocks of block texts, so no pair is left out and one task sees 2 * block texts at most.
+    nodes has (node, wide), texts (node, text). First every text is held against the least of each of its segment
+    values: rows linear in the texts, which connect most of any group of copies. What is left are pairs that share a
+    value and aren't connected yet: values of up to hot texts give those within the chain's budgets; in larger ones all
+    texts outside the least one's component are held against all others in blocks of block texts, so no pair is left
+    out and one task sees 2 * block texts at most.
     """
     of = W.partitionBy("val")
-    shared = _windows(nodes).withColumns({"n": F.count("*").over(of), "least": F.min("node").over(of)}).where("n > 1")
-    shared = stage(shared, "simhash-wide")
-    cool = shared.where(F.col("n") <= hot)
-    a, b = (cool.select("val", F.col("node").alias(c), F.col("after").alias("x" + c)) for c in "ab")
-    x = F.col("xa").bitwiseXOR(F.col("xb"))
-    chain = F.lit(True)
-    for width, most in WIDE_CHAIN:
-        chain = chain & (F.bit_count(x.bitwiseAND((1 << width) - 1)) <= most)
-    pairs = a.join(b, "val").where(F.col("a") < F.col("b")).where(chain).select("a", "b")
-    large = shared.where(F.col("n") > hot).select("val", "least", "node")
-    stars = large.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    linked = stage(_verified(pairs.unionByName(stars).distinct(), nodes, texts), "simhash-linked")
+    first = F.min(F.struct("node", "after")).over(of)
+    shared = _windows(nodes).withColumns({"n": F.count("*").over(of), "least": first}).where("n > 1")
+    shared = stage(shared.select("val", "node", "after", "n", F.col("least.node").alias("least"), F.col("least.after").alias("after_least")), "simhash-wide")
+    stars = shared.where("least < node").where((F.col("n") > hot) | _chain(F.col("after"), F.col("after_least"))).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    linked = stage(_verified(stars, nodes, texts), "simhash-stars")
+
+    roots = components(linked, "simhash-star-roots")
+    more = shared.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = W.partitionBy("val")
+    more = more.withColumns({"low": F.min("root").over(mixed), "high": F.max("root").over(mixed), "own": F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(mixed)})
+    more = stage(more.where("low < high").select("val", "node", "after", "n", "root", "own"), "simhash-more")
+
+    a, b = (more.where(F.col("n") <= hot).select("val", F.col("node").alias(c), F.col("after").alias("x" + c), F.col("root").alias("r" + c)) for c in "ab")
+    pairs = a.join(b, (a["val"] == b["val"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _chain(F.col("xa"), F.col("xb"))).select("a", "b").distinct()
+    left = _verified(pairs, nodes, texts)
 
-    is_open = large.join(linked.select(F.col("a").alias("least"), F.col("b").alias("node")), ["least", "node"], "left_anti").where("least < node")
     cut = lambda df: df.withColumn("part", F.floor((F.row_number().over(of.orderBy("node")) - 1) / block))
-    opened = stage(cut(is_open.select("val", "node")), "simhash-open")
-    members = cut(large.join(opened.select("val").distinct(), "val", "left_semi").select("val", "node"))
-    members = stage(members, "simhash-members")
+    large = more.where(F.col("n") > hot)
+    opened = stage(cut(large.where("root <> own").select("val", "node", "root")), "simhash-open")
+    members = stage(cut(large.select("val", "node", "root")), "simhash-members")
     open_parts, member_parts = (df.select("val", F.col("part").alias(c)).distinct() for df, c in ((opened, "op"), (members, "mp")))
     rows = opened.withColumnRenamed("part", "op").join(member_parts, "val").withColumn("open", F.lit(True)).unionByName(members.withColumnRenamed("part", "mp").join(open_parts, "val").withColumn("open", F.lit(False)))
-    rest = rows.join(texts, "node").select("val", "op", "mp", "node", "open", "text").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
-    return linked.unionByName(rest)
+    rest = rows.join(texts, "node").select("val", "op", "mp", "node", "root", "open", "text").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
+    return linked.unionByName(left).unionByName(rest)
 
 
 def copies(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
