@@ -177,12 +177,6 @@ def _windows(nodes: DataFrame) -> DataFrame:
     return cut.select("node", (F.shiftleft(F.col("seg").cast("long"), WIDE_SEGMENT) + F.col("bits").bitwiseAND(low)).alias("val"), F.shiftrightunsigned("bits", WIDE_SEGMENT).alias("after"))
 
 
-def _words_shared(a: str | None, b: str | None) -> float:
-    """Jaccard similarity of the distinct shingles; without any in both: 1."""
-    x, y = set(shingle_hashes(a, VERIFIED_SHINGLE)), set(shingle_hashes(b, VERIFIED_SHINGLE))
-    return _jaccard(x, y)
-
-
 def _jaccard(x: set, y: set) -> float:
     if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
         return 0.0
@@ -190,24 +184,25 @@ def _jaccard(x: set, y: set) -> float:
     return n / (len(x) + len(y) - n) if x or y else 1.0
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (a, b) within WIDE_BITS and of SIMILARITY or more."""
-    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    wa, wb = (nodes.select(F.col("node").alias(c), F.col("wide").alias("w" + c)) for c in "ab")
-    close = stage(pairs.join(wa, "a").join(wb, "b").where(bits <= WIDE_BITS).select("a", "b").distinct(), "simhash-close")
-    ta, tb = (texts.select(F.col("node").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+def _near(pdf: pd.DataFrame):
+    """A test of two rows of (wide, text): within WIDE_BITS and of SIMILARITY or more. Shingles are made when first asked for."""
+    bits = np.stack(pdf["wide"].to_numpy()).astype("int64").view("uint64")
+    texts, sets = pdf["text"].tolist(), {}
 
-    def run(batches):
-        for b in batches:
-            yield b.loc[[_words_shared(x, y) >= SIMILARITY for x, y in zip(b["ta"], b["tb"])], ["a", "b"]]
+    def shingles(i: int) -> set:
+        if i not in sets:
+            sets[i] = set(shingle_hashes(texts[i], VERIFIED_SHINGLE))
+        return sets[i]
 
-    return close.join(ta, "a").join(tb, "b").mapInPandas(run, "a long, b long")
+    def near(i: int, j: int) -> bool:
+        return int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= WIDE_BITS and _jaccard(shingles(i), shingles(j)) >= SIMILARITY
+
+    return near
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A forest (a, b) that joins the components (root) between which there are links from the open texts of one block to the texts of another."""
-    sets = [set(shingle_hashes(t, VERIFIED_SHINGLE)) for t in pdf["text"]]
-    ids, known, is_open = pdf["node"].tolist(), pdf["root"].tolist(), pdf["open"].tolist()
+    """A forest (a, b) that joins the components (root) between which there are links from the open texts of one block to its others."""
+    near, ids, known, is_open = _near(pdf), pdf["node"].tolist(), pdf["root"].tolist(), pdf["open"].tolist()
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -217,13 +212,19 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     for i in (i for i, o in enumerate(is_open) if o):
-        for j in (j for j, o in enumerate(is_open) if not o):
-            if find(known[i]) != find(known[j]) and _jaccard(sets[i], sets[j]) >= SIMILARITY:
+        for j in range(len(ids)):
+            if find(known[i]) != find(known[j]) and near(i, j):
                 root[find(known[i])] = find(known[j])
                 out.append((ids[i], ids[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _star_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The links (a, b) of a block of texts to the least text of their segment value, which is the row with open false."""
+    near, ids, least = _near(pdf), pdf["node"].tolist(), pdf["open"].tolist().index(False)
+    return pd.DataFrame([(ids[least], ids[i]) for i in range(len(ids)) if i != least and near(least, i)], columns=["a", "b"], dtype="int64")
+
+
 def _chain(xa, xb):
     x, ok = xa.bitwiseXOR(xb), F.lit(True)
     for width, most in WIDE_CHAIN:
@@ -234,37 +235,37 @@ def _chain(xa, xb):
 def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect the near copies that share a segment of their wide fingerprints.
 
-    nodes has (node, wide), texts (node, text). First every text is held against the least of each of its segment
-    values: rows linear in the texts, which connect most of any group of copies. What is left are pairs that share a
-    value and aren't connected yet: values of up to hot texts give those within the chain's budgets; in larger ones all
-    texts outside the least one's component are held against all others in blocks of block texts, so no pair is left
-    out and one task sees 2 * block texts at most.
+    nodes has (node, wide), texts (node, text). Texts of one segment value are compared in one task, which returns a
+    forest, never pairs; where a value has up to hot texts, only those go there that have a chain within the budgets
+    with another. Values of more than block texts are linked to their least text in blocks first; the texts then
+    outside its component are held against all others, block by block, so no pair is left out and one task sees
+    2 * block texts at most.
     """
     of = W.partitionBy("val")
-    first = F.min(F.struct("node", "after")).over(of)
-    shared = _windows(nodes).withColumns({"n": F.count("*").over(of), "least": first}).where("n > 1")
-    shared = stage(shared.select("val", "node", "after", "n", F.col("least.node").alias("least"), F.col("least.after").alias("after_least")), "simhash-wide")
-    stars = shared.where("least < node").where((F.col("n") > hot) | _chain(F.col("after"), F.col("after_least"))).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    linked = stage(_verified(stars, nodes, texts), "simhash-stars")
-
-    roots = components(linked, "simhash-star-roots")
-    more = shared.where("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = W.partitionBy("val")
-    more = more.withColumns({"low": F.min("root").over(mixed), "high": F.max("root").over(mixed), "own": F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(mixed)})
-    more = stage(more.where("low < high").select("val", "node", "after", "n", "root", "own"), "simhash-more")
-
-    a, b = (more.where(F.col("n") <= hot).select("val", F.col("node").alias(c), F.col("after").alias("x" + c), F.col("root").alias("r" + c)) for c in "ab")
-    pairs = a.join(b, (a["val"] == b["val"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _chain(F.col("xa"), F.col("xb"))).select("a", "b").distinct()
-    left = _verified(pairs, nodes, texts)
+    shared = _windows(nodes).withColumn("n", F.count("*").over(of)).where("n > 1")
+    near = F.size(F.filter(F.collect_list(F.when(F.col("n") <= hot, F.col("after"))).over(of), lambda x: _chain(x, F.col("after")))) > 1
+    shared = stage(shared.withColumn("near", near | (F.col("n") > hot)).where("near").select("val", "node", "n", F.min("node").over(of).alias("least")), "simhash-wide")
+    content = texts.join(nodes, "node")
+    typed, keys = "a long, b long", ["val", "op", "mp"]
+
+    small = shared.where(F.col("n") <= block).select("val", F.lit(0).alias("op"), F.lit(0).alias("mp"), "node", F.col("node").alias("root"), F.lit(True).alias("open"))
+    found = small.join(content, "node").groupBy(*keys).applyInPandas(_block_links, typed)
 
     cut = lambda df: df.withColumn("part", F.floor((F.row_number().over(of.orderBy("node")) - 1) / block))
-    large = more.where(F.col("n") > hot)
-    opened = stage(cut(large.where("root <> own").select("val", "node", "root")), "simhash-open")
-    members = stage(cut(large.select("val", "node", "root")), "simhash-members")
+    large = stage(cut(shared.where(F.col("n") > block)), "simhash-large")
+    others = large.where("least < node").select("val", F.col("part").alias("op"), F.lit(0).alias("mp"), "node", F.lit(True).alias("open"))
+    centres = large.select("val", F.col("part").alias("op"), F.lit(0).alias("mp"), F.col("least").alias("node"), F.lit(False).alias("open")).distinct()
+    stars = others.unionByName(centres).join(content, "node").groupBy(*keys).applyInPandas(_star_links, typed)
+    linked = stage(found.unionByName(stars).distinct(), "simhash-linked")
+
+    roots = components(linked, "simhash-roots")
+    members = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(of)
+    members = stage(members.withColumn("own", own), "simhash-members")
+    opened = stage(cut(members.where("root <> own").select("val", "node", "root")), "simhash-open")
     open_parts, member_parts = (df.select("val", F.col("part").alias(c)).distinct() for df, c in ((opened, "op"), (members, "mp")))
-    rows = opened.withColumnRenamed("part", "op").join(member_parts, "val").withColumn("open", F.lit(True)).unionByName(members.withColumnRenamed("part", "mp").join(open_parts, "val").withColumn("open", F.lit(False)))
-    rest = rows.join(texts, "node").select("val", "op", "mp", "node", "root", "open", "text").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
-    return linked.unionByName(left).unionByName(rest)
+    rows = opened.withColumnRenamed("part", "op").join(member_parts, "val").withColumn("open", F.lit(True)).unionByName(members.select("val", "node", "root", F.col("part").alias("mp")).join(open_parts, "val").withColumn("open", F.lit(False)))
+    return linked.unionByName(rows.join(content, "node").groupBy(*keys).applyInPandas(_block_links, typed))
 
 
 def copies(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
