@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def forest(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) that connect the same nodes as the given ones: of each partition only those that join two of its components.
+
+    Rows meet by b, and AQE splits a partition that is too large, as any split is right. A task forgets its components
+    at `most` nodes, which bounds its memory and costs only rows. Empty edges give an empty result.
+    """
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+                if (x := find(a)) != (y := find(b)):
+                    root[x] = y
+                    kept.append((a, b))
+                if len(root) > most:
+                    root.clear()
+            yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return edges.select("a", "b").hint("rebalance", F.col("b")).mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of undirected edges (a, b) of longs, as (node, root), root being the least node.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, forest, stage
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 2
@@ -201,8 +201,8 @@ def _near(pdf: pd.DataFrame):
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A forest (a, b) that joins the components (root) between which there are links from the open texts of one block to its others."""
-    near, ids, known, is_open = _near(pdf), pdf["node"].tolist(), pdf["root"].tolist(), pdf["open"].tolist()
+    """A forest (a, b) over components, named by their roots, between which there are links from the open texts of one block to its others."""
+    near, known, is_open = _near(pdf), pdf["root"].tolist(), pdf["open"].tolist()
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -212,10 +212,10 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
     out = []
     for i in (i for i, o in enumerate(is_open) if o):
-        for j in range(len(ids)):
+        for j in range(len(known)):
             if find(known[i]) != find(known[j]) and near(i, j):
                 root[find(known[i])] = find(known[j])
-                out.append((ids[i], ids[j]))
+                out.append((known[i], known[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -256,7 +256,7 @@ def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block:
     others = large.where("least < node").select("val", F.col("part").alias("op"), F.lit(0).alias("mp"), "node", F.lit(True).alias("open"))
     centres = large.select("val", F.col("part").alias("op"), F.lit(0).alias("mp"), F.col("least").alias("node"), F.lit(False).alias("open")).distinct()
     stars = others.unionByName(centres).join(content, "node").groupBy(*keys).applyInPandas(_star_links, typed)
-    linked = stage(found.unionByName(stars).distinct(), "simhash-linked")
+    linked = stage(forest(found.unionByName(stars)), "simhash-linked")
 
     roots = components(linked, "simhash-roots")
     members = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -265,7 +265,8 @@ def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block:
     opened = stage(cut(members.where("root <> own").select("val", "node", "root")), "simhash-open")
     open_parts, member_parts = (df.select("val", F.col("part").alias(c)).distinct() for df, c in ((opened, "op"), (members, "mp")))
     rows = opened.withColumnRenamed("part", "op").join(member_parts, "val").withColumn("open", F.lit(True)).unionByName(members.select("val", "node", "root", F.col("part").alias("mp")).join(open_parts, "val").withColumn("open", F.lit(False)))
-    return linked.unionByName(rows.join(content, "node").groupBy(*keys).applyInPandas(_block_links, typed))
+    settled = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return settled.unionByName(rows.join(content, "node").groupBy(*keys).applyInPandas(_block_links, typed))
 
 
 def copies(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:

@@ -416,6 +416,17 @@ def edited_texts():
     return rows + [(2000 + i, " ".join(rng.choice(words) for _ in range(200))) for i in range(20)]
 
 
+@pytest.mark.parametrize("most", [3, 1 << 20])
+def test_forest_connects_the_same_nodes(spark, most):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 90, (80, 2))] * 2 + [(7, 7), (0, 1)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    cut = common.forest(edges, most)
+    same(got(common.components(cut)), got(common.components(edges)))
+    assert cut.distinct().count() <= len(set(pairs))
+    assert common.forest(edges.where("false"), most).count() == 0
+
+
 @pytest.mark.parametrize("hot, block", [(32, 128), (1, 2)])
 def test_copies(spark, docs, rows, nothing, hot, block):
     rows_ = [r for r in rows if r[0] is not None]
