@@ -9,6 +9,9 @@ Near copies of a Jaccard similarity of 0.8 lie far more than two of 64 bits apar
 on a wide fingerprint: 2,304 bits over distinct 3-word shingles in a ring of 96 segments. A near copy differs in about
 an eighth of the bits, so several of its segments are equal by chance. A chain must start with an equal segment, its
 next 24 and 40 bits must stay within budgets, then the whole distance; the Jaccard similarity of the texts decides.
+
+What that misses is found by prefix filtering, which is exact: in any common order of shingles, two texts of similarity
+0.8 share one among the first fifth of each. Only shingles that stand in texts of several components are looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ WIDE_CHAIN, WIDE_BITS = ((24, 9), (40, 13)), 430
 SIMILARITY, VERIFIED_SHINGLE = 0.8, 5
 #: Where a segment value has more texts than this, those not linked through its least text are compared block by block.
 HOT_TEXTS, BLOCK = 32, 128
+#: Shingles that come last in the order of the prefix filter: so many at most, the most common ones of so many texts.
+COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
+#: Rows of prefixes that a task sends on at once.
+PREFIX_ROWS = 1 << 18
 
 
 def shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -185,8 +192,8 @@ def _jaccard(x: set, y: set) -> float:
 
 
 def _near(pdf: pd.DataFrame):
-    """A test of two rows of (wide, text): within WIDE_BITS and of SIMILARITY or more. Shingles are made when first asked for."""
-    bits = np.stack(pdf["wide"].to_numpy()).astype("int64").view("uint64")
+    """A test of two rows of (wide, text): within WIDE_BITS, where there is wide, and of SIMILARITY or more. Shingles are made when first asked for."""
+    bits = np.stack(pdf["wide"].to_numpy()).astype("int64").view("uint64") if "wide" in pdf else None
     texts, sets = pdf["text"].tolist(), {}
 
     def shingles(i: int) -> set:
@@ -195,7 +202,7 @@ def _near(pdf: pd.DataFrame):
         return sets[i]
 
     def near(i: int, j: int) -> bool:
-        return int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= WIDE_BITS and _jaccard(shingles(i), shingles(j)) >= SIMILARITY
+        return (bits is None or int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= WIDE_BITS) and _jaccard(shingles(i), shingles(j)) >= SIMILARITY
 
     return near
 
@@ -235,17 +242,25 @@ def _chain(xa, xb):
 def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect the near copies that share a segment of their wide fingerprints.
 
-    nodes has (node, wide), texts (node, text). Texts of one segment value are compared in one task, which returns a
-    forest, never pairs; where a value has up to hot texts, only those go there that have a chain within the budgets
-    with another. Values of more than block texts are linked to their least text in blocks first; the texts then
-    outside its component are held against all others, block by block, so no pair is left out and one task sees
-    2 * block texts at most.
+    nodes has (node, wide), texts (node, text). Where a value has up to hot texts, only those are compared that have a
+    chain within the budgets with another.
     """
     of = W.partitionBy("val")
     shared = _windows(nodes).withColumn("n", F.count("*").over(of)).where("n > 1")
     near = F.size(F.filter(F.collect_list(F.when(F.col("n") <= hot, F.col("after"))).over(of), lambda x: _chain(x, F.col("after")))) > 1
     shared = stage(shared.withColumn("near", near | (F.col("n") > hot)).where("near").select("val", "node", "n", F.min("node").over(of).alias("least")), "simhash-wide")
-    content = texts.join(nodes, "node")
+    return member_links(shared, texts.join(nodes, "node"), block)
+
+
+def member_links(shared: DataFrame, content: DataFrame, block: int) -> DataFrame:
+    """Edges (a, b) that connect the near copies among the members of each value.
+
+    shared has (val, node, n, least): n members of a value, least the least of them; content (node, text) and perhaps
+    wide. Texts of one value are compared in one task, which returns a forest, never pairs. Values of more than block
+    texts are linked to their least text in blocks first; the texts then outside its component are held against all
+    others, block by block, so no pair is left out and one task sees 2 * block texts at most.
+    """
+    of = W.partitionBy("val")
     typed, keys = "a long, b long", ["val", "op", "mp"]
 
     small = shared.where(F.col("n") <= block).select("val", F.lit(0).alias("op"), F.lit(0).alias("mp"), "node", F.col("node").alias("root"), F.lit(True).alias("open"))
@@ -269,6 +284,87 @@ def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block:
     return settled.unionByName(rows.join(content, "node").groupBy(*keys).applyInPandas(_block_links, typed))
 
 
+def _shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, VERIFIED_SHINGLE), dtype=np.uint64).view(np.int64))
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that several texts of a sample have, and how many. Whatever they are, the order they give is right; these keep crowds out of prefixes."""
+    chance = min(1.0, COMMON_TEXTS / max(1, texts.count()))
+
+    def run(batches):
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"val": _shingle_set(t)})
+
+    sample = texts.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**52)) / float(2**52) <= chance)
+    rows = sample.select("text").mapInPandas(run, "val long").groupBy("val").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "val").limit(COMMON_MOST).collect()
+    found = np.array(sorted((r.val, r.n) for r in rows), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(val, node, root, size, pos): of each text (node, root, text) the first floor(size / 5) + 1 of its size distinct shingles, those not common first, then by hash.
+
+    Texts of similarity 0.8 share at least four fifths of the larger set, so neither prefix can miss all they share.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(common)  # 1 MB at most
+
+    def run(batches):
+        vals, counts = sent.value
+        for b in batches:
+            out, rows = [], 0
+            for node, root, t in zip(b["node"], b["root"], b["text"]):
+                h = _shingle_set(t)
+                at = np.minimum(np.searchsorted(vals, h), max(0, len(vals) - 1))
+                often = np.where(vals[at] == h, counts[at], 0) if len(vals) else np.zeros(len(h), dtype=np.int64)
+                first = h[np.lexsort((h, often))[: len(h) // 5 + 1]]
+                out.append(pd.DataFrame({"val": first, "node": node, "root": root, "size": np.int32(len(h)), "pos": np.arange(len(first), dtype=np.int32)}))
+                rows += len(first)
+                if rows > PREFIX_ROWS:
+                    yield pd.concat(out)
+                    out, rows = [], 0
+            if out:
+                yield pd.concat(out)
+
+    return texts.select("node", "root", "text").mapInPandas(run, "val long, node long, root long, size int, pos int")
+
+
+def missed_links(texts: DataFrame, roots: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect all near copies that lie in different components, given as (node, root) of those of more than one text.
+
+    A shingle of up to hot prefixes gives the pairs that their sizes and the shingles after it allow to be near copies;
+    the texts of more crowded ones are compared in blocks, once for each set of texts.
+    """
+    of = W.partitionBy("val")
+    rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = prefixes(rooted, common_shingles(texts))
+    spans = keyed.withColumns({"n": F.count("*").over(of), "low": F.min("root").over(of), "high": F.max("root").over(of)})
+    shared = stage(spans.where("low < high").drop("low", "high"), "simhash-prefixes")
+
+    x = lambda c: F.col("other")[c]
+    others = F.filter(F.collect_list(F.struct("node", "root", "size", "pos")).over(of), lambda o: (
+        (o["node"] > F.col("node")) & (o["root"] != F.col("root")) & (5 * F.least(o["size"], F.col("size")) >= 4 * F.greatest(o["size"], F.col("size")))
+        & (9 * F.least(o["size"] - o["pos"], F.col("size") - F.col("pos")) >= 4 * (o["size"] + F.col("size")))))
+    pairs = shared.where(F.col("n") <= hot).withColumn("others", others).select(F.col("node").alias("a"), F.explode("others").alias("other")).select("a", x("node").alias("b")).distinct()
+
+    def check(batches):
+        for b in batches:
+            ok = [_jaccard(set(shingle_hashes(s, VERIFIED_SHINGLE)), set(shingle_hashes(t, VERIFIED_SHINGLE))) >= SIMILARITY for s, t in zip(b["s"], b["t"])]
+            yield b.loc[ok, ["a", "b"]]
+
+    side = lambda k, t: texts.select(F.col("node").alias(k), F.col("text").alias(t))
+    found = stage(pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").mapInPandas(check, "a long, b long"), "simhash-missed")
+
+    settled = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    now = components(settled.unionByName(found), "simhash-missed-roots")
+    crowd = shared.where(F.col("n") > hot).select("val", "node", "n").join(now, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = crowd.groupBy("val").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+    one = sets.where("low < high").groupBy("sum", "n", "least").agg(F.min("val").alias("val")).select("val", "least")
+    crowded = stage(crowd.select("val", "node", "n").join(one, "val"), "simhash-crowds")
+    return found.unionByName(member_links(crowded, texts, block))
+
+
 def copies(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
     """(doc_id, root) for each doc_id: root is the least doc_id reachable over exact and near copies, itself included.
 
@@ -282,7 +378,9 @@ def copies(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFra
     nodes = stage(least.select("words", "node", "wide"), "simhash-texts")
     texts = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
     same = own.join(nodes.select("words", "node"), "words").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    near = text_links(nodes.select("node", "wide"), texts, hot, block)
+    ring = components(text_links(nodes.select("node", "wide"), texts, hot, block), "simhash-ring")
+    settled = ring.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    near = settled.unionByName(missed_links(texts, ring, hot, block))
     roots = components(near.unionByName(same.where("a <> b")), "simhash-copies")
     return own.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 

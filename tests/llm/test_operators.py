@@ -441,6 +441,31 @@ def test_copies(spark, docs, rows, nothing, hot, block):
     assert simhash.copies(nothing, hot, block).count() == 0
 
 
+def shared_fifths():
+    """Pairs of a similarity just over 0.8: a tail appended, one block replaced, and 8 word types, where most bits of fingerprints differ."""
+    rng = random.Random(47)
+    words, rows = [f"u{k}" for k in range(3000)], []
+    draw = lambda n, of: [rng.choice(of) for _ in range(n)]
+    for _ in range(40):
+        base = draw(400, words)
+        at = rng.randrange(300)
+        rows += [base, base + draw(98, words)]
+        base = draw(400, words)
+        rows += [base, base[:at] + draw(40, words) + base[at + 40 :]]
+    for _ in range(3):
+        base, few = draw(8000, words[:8]), words[:8]
+        rows += [base + draw(700, few), base + draw(700, few)]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("hot, block", [(32, 128), (1, 2)])
+def test_copies_just_over_the_similarity(spark, hot, block):
+    mine = shared_fifths()
+    want = brute_copies(mine)
+    assert sum(want[i] == i - 1 for i in range(1, len(mine), 2)) == len(mine) // 2
+    same(got(simhash.copies(spark.createDataFrame(mine, "doc_id long, text string").repartition(3), hot, block)), list(want.items()))
+
+
 # 8: secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
