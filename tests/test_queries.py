@@ -11,7 +11,7 @@ import pytest
 
 from terrane.functions import geo
 from terrane.operators import clustering, polygons, routing
-from terrane.plans import registry
+from terrane.plans import registry, routes
 
 DATA = "/root/testdata/sf0.001"
 QUICK = ["radius_counts", "outside_bbox", "knn_in_key", "depot_select", "point_in_polygon", "lookup_join_total", "keyset_equality", "ledger_override", "reason_tags", "coverage_pivot", "keyword_multilabel", "gap_means", "upper_median", "status_case", "round_robin_schedule", "adjacency_lists", "integrity_checks", "normalize_text_key", "variant_fallback_lookup", "scaled_balances", "label_agreement"]
@@ -97,3 +97,21 @@ def test_polygons(spark):
     r = spark.createDataFrame([([ring],)], "p array<array<struct<lon:double,lat:double>>>")
     area, at = r.select(geo.area_km2(r.p), geo.shoelace(r.p[0])).first()
     assert abs(area - 16 * 111.32 * 110.574 * np.cos(np.radians(2))) < 1e-6 and tuple(at) == (16.0, 2.0, 2.0)
+
+
+@pytest.mark.parametrize("band", [100_000, 300])
+def test_every_customer_stands_in_one_zone(spark, monkeypatch, band):
+    monkeypatch.setattr(routes, "BAND_SITES", band)
+    d = DATA.replace("0.001", "0.01")
+    rows = routes._sites(spark, d).collect()
+    assert sorted(r.id for r in rows) == sorted(r.c_custkey for r in registry.read(spark, d, "customer").collect())
+    sizes = {}
+    for r in rows:
+        sizes[r.zone] = sizes.get(r.zone, 0) + 1
+    assert 2 <= min(sizes.values()) and max(sizes.values()) <= routing.MAX_CANDIDATES
+
+
+def test_route_plans_know_only_their_zones_sites(spark):
+    zone_of = {str(r.id): r.zone for r in routes._sites(spark, DATA).collect()}
+    seen = [(r.method, s, r.zone) for r in registry.QUERIES["route_plans"](spark, DATA).collect() for s in r.stops.split(">")]
+    assert len(seen) == len({s[:2] for s in seen}) and all(zone_of[s] == z for _, s, z in seen)
