@@ -1,6 +1,7 @@
 """Spark against DuckDB on the smallest tables, and small operators against brute force."""
 
 import glob
+import heapq
 import itertools
 import os
 import random
@@ -11,7 +12,7 @@ import pytest
 
 from terrane.functions import geo
 from terrane.operators import clustering, polygons, routing
-from terrane.plans import registry, routes
+from terrane.plans import graphs, registry, routes
 
 DATA = "/root/testdata/sf0.001"
 QUICK = ["radius_counts", "outside_bbox", "knn_in_key", "depot_select", "point_in_polygon", "lookup_join_total", "keyset_equality", "ledger_override", "reason_tags", "coverage_pivot", "keyword_multilabel", "gap_means", "upper_median", "status_case", "round_robin_schedule", "adjacency_lists", "integrity_checks", "normalize_text_key", "variant_fallback_lookup", "scaled_balances", "label_agreement"]
@@ -115,3 +116,20 @@ def test_route_plans_know_only_their_zones_sites(spark):
     zone_of = {str(r.id): r.zone for r in routes._sites(spark, DATA).collect()}
     seen = [(r.method, s, r.zone) for r in registry.QUERIES["route_plans"](spark, DATA).collect() for s in r.stops.split(">")]
     assert len(seen) == len({s[:2] for s in seen}) and all(zone_of[s] == z for _, s, z in seen)
+
+
+def test_supplier_shortest_equals_dijkstra(spark):
+    edges, n = {}, registry.read(spark, DATA, "customer").count()
+    for r in graphs._edges(spark, DATA).collect():
+        edges.setdefault(r.src, []).append((r.dst, float(r.weight)))
+    seeds = {r.s_suppkey * 7 % n for r in registry.read(spark, DATA, "supplier").collect()}
+    best, heap = {}, [(0.0, s, s) for s in seeds]
+    heapq.heapify(heap)
+    while heap:
+        dist, origin, node = heapq.heappop(heap)
+        if node not in best:
+            best[node] = (dist, origin)
+            for dst, w in edges.get(node, []):
+                heapq.heappush(heap, (dist + w, origin, dst))
+    got = {r.node: (r.dist, r.origin) for r in registry.QUERIES["supplier_shortest"](spark, DATA).collect()}
+    assert got == best and len(seeds) < len(best)
