@@ -14,6 +14,13 @@ def normalize_text_key(spark, d):
     return read(spark, d, "documents").select("doc_id", F.substring(F.trim(t), 1, 200).alias("norm"))
 
 
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)', ' ', 'g'), '[^0-9A-Za-z]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents")
+def normalized_text(spark, d):
+    """The whole text so normalised; normalize_text_key is its first 200 characters, as its SQL says."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\([^)]*\)", " "), "[^0-9A-Za-z]+", " "), " +", " ")
+    return read(spark, d, "documents").select("doc_id", F.trim(t).alias("norm"))
+
+
 @query("SELECT s_suppkey, 'TR-' || upper(substr(sha256(s_name || '|' || s_nationkey || '|' || s_suppkey),1,12)) AS stable_id, md5(s_name) AS name_md5 FROM supplier")
 def stable_hash_id(spark, d):
     key = F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string"))

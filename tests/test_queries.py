@@ -133,3 +133,9 @@ def test_supplier_shortest_equals_dijkstra(spark):
                 heapq.heappush(heap, (dist + w, origin, dst))
     got = {r.node: (r.dist, r.origin) for r in registry.QUERIES["supplier_shortest"](spark, DATA).collect()}
     assert got == best and len(seeds) < len(best)
+
+
+def test_normalized_text_is_whole(spark, oracle):
+    want = dict(oracle.sql(registry.ORACLE_SQL["normalized_text"]).fetchall())
+    got = {r.doc_id: r.norm for r in registry.QUERIES["normalized_text"](spark, DATA).collect()}
+    assert got == want and max(map(len, got.values())) > 200
