@@ -8,6 +8,7 @@ filter of width w sees one of 64**w symbol strings, its responses are tabled onc
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 SAMPLE_DOCS, SAMPLE_WINDOWS, EXCERPT = 3000, 3, 400
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 20240229
 UNKNOWN = "und"
+#: A text is of a learned script if this share of its letters is; a letter is learned if this share of sample documents has it.
+KNOWN_LETTERS, LETTER_DOCS = 0.5, 0.001
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -48,6 +51,7 @@ class Network:
     def __init__(self, langs: list[str]):
         rng = np.random.default_rng(SEED)
         self.langs = langs
+        self.letters = ""
         self.p = {f"w{w}": rng.normal(0, 0.3, (w, 64, FILTERS)).astype("float32") for w in WIDTHS}
         self.p |= {f"b{w}": np.zeros(FILTERS, dtype="float32") for w in WIDTHS}
         n = FILTERS * len(WIDTHS)
@@ -145,24 +149,41 @@ def train(docs: DataFrame) -> Network | None:
     if not kept:
         return None
     net = Network(langs)
+    seen = Counter(c for r in rows for c in set("".join(r.cuts).lower()) if _LETTER.match(c))
+    net.letters = "".join(sorted(c for c, n in seen.items() if n >= LETTER_DOCS * len(rows)))
     net.train(np.stack([x for x, _ in kept]), np.array([y for _, y in kept]))
     return net
 
 
-def predicted(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
+def letter_tables(letters: str) -> np.ndarray:
+    """By code point: 0 no letter, 1 a letter, 2 one of letters."""
+    t = np.array([chr(c).isalpha() for c in range(0x110000)], dtype=np.uint8)
+    t[[ord(c) for c in letters]] = 2
+    return t
+
+
+def familiar(text: str, table: np.ndarray) -> bool:
+    """Whether KNOWN_LETTERS of the letters of the whole text are learned ones."""
+    n = np.bincount(table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")], minlength=3)
+    return n[2] >= KNOWN_LETTERS * (n[1] + n[2])
+
+
+def predicted(docs: DataFrame, net: Network | None, keep: list[str], scripts: bool = False) -> DataFrame:
     """Columns keep of docs, lang_pred and score: the mean over all windows of a text, each by its share of letters.
 
-    A text that is null or has no letters gets `und` with score 0, as does every text without a network.
+    A text that is null or has no letters gets `und` with score 0, as does every text without a network
+    and, with scripts, every text that is not familiar.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)  # under 100 kB
 
     def run(batches):
         net, symbols = sent.value, symbol_table()
         tables = net.tables() if net else None
+        known = letter_tables(net.letters) if net and scripts else None
         for b in batches:
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
-                texts = [t if net and t and _LETTER.search(t) else None for t in part["text"]]
+                texts = [t if net and t and _LETTER.search(t) and (known is None or familiar(t, known)) else None for t in part["text"]]
                 lang, score = np.full(len(part), UNKNOWN, dtype=object), np.zeros(len(part))
                 if has := [k for k, t in enumerate(texts) if t]:
                     cut = [windows(texts[k], symbols) for k in has]
@@ -182,7 +203,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predicted(docs, train(docs), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs with their columns, without those of unknown language or of a score below least."""
+def least_score(docs: DataFrame, net: Network | None) -> float:
+    """Half way from chance to the lowest score of a rightly predicted document, of about SAMPLE_DOCS labelled ones held out; 0 without any."""
+    if net is None:
+        return 0.0
+    usable = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(held_out())
+    chance = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
+    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**52)) / float(2**52) <= chance)
+    low = predicted(some, net, ["lang"], scripts=True).where("lang_pred = lang").agg(F.min("score")).first()[0]
+    return 0.0 if low is None else 0.999 * min(low, (low + 1 / len(net.langs)) / 2)
+
+
+def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """docs with their columns, without those of unknown language, of a script not learned, or of a score below least, by default least_score."""
     net = train(docs)
-    return predicted(docs.withColumnsRenamed({"lang_pred": "lang_pred_", "score": "score_"}), net, [{"lang_pred": "lang_pred_", "score": "score_"}.get(c, c) for c in docs.columns]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
+    least = least_score(docs, net) if least is None else least
+    return predicted(docs.withColumnsRenamed({"lang_pred": "lang_pred_", "score": "score_"}), net, [{"lang_pred": "lang_pred_", "score": "score_"}.get(c, c) for c in docs.columns], scripts=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)

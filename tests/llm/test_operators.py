@@ -527,6 +527,14 @@ def test_language(spark, docs, rows, nothing):
     assert {(r.lang_pred, r.score) for r in langid.identify(unlabelled).collect()} == {("und", 0.0)}
 
 
+def test_unlearned_scripts_go_and_clean_documents_stay(spark, rows):
+    alien = ["Это простой текст о погоде и доме у реки. " * 8, "Αυτό είναι ένα απλό κείμενο για το σπίτι. " * 8, "今日は天気がいいので公園を散歩しました。" * 12]
+    mine = [(d, t, lang) for d, t, lang, *_ in rows if d is not None and 0 <= d < 60] + [(900 + i, t, None) for i, t in enumerate(alien)]
+    docs = spark.createDataFrame(mine, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.accepted(docs).collect()} == set(range(60))
+    assert 0.49 < langid.least_score(docs, langid.train(docs)) < 1
+
+
 # 10: sharding
 
 
