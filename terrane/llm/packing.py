@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import stage
 
 CAPACITY = 2048
@@ -131,3 +132,11 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = No
 
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(run, "doc_id long, source string, cluster long, piece long, bin_id long, bin_offset long, n_words long")
+
+
+def of_copies(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+    """best_fit with the groups of exact and near copies as clusters; a row without doc_id is in a cluster of its own text."""
+    roots = stage(simhash.copies(docs), "packing-copies").withColumnsRenamed({"doc_id": "copy_id", "root": "copy_root"})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = F.coalesce(F.concat(F.lit("root "), F.col("copy_root").cast("string")), F.concat(F.lit("text "), text))
+    return best_fit(docs.join(roots, F.col("doc_id") == F.col("copy_id"), "left").withColumn("copy_group", own), capacity, "copy_group", group_docs)

@@ -162,6 +162,14 @@ def test_packing(docs, rows, nothing):
     assert packing.best_fit(docs.select("doc_id", "text"), cluster="doc_id").count() >= len(rows)
 
 
+def test_near_copies_share_no_bin(spark, rows):
+    base = next(r[1] for r in rows if r[0] == 100)
+    mine = [(i, base + f" end{i}", f"s{i}") for i in range(6)] + [(10 + i, f"short{i} text", f"t{i}") for i in range(3)] + [(None, "a b", "s9")]
+    out = packing.of_copies(spark.createDataFrame(mine, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(mine) and len({r.bin_id for r in out if r.doc_id is not None and r.doc_id < 6}) == 6
+    assert len({r.cluster for r in out}) == 5
+
+
 # 3: decontamination
 
 ITEMS = [(0, "Which house did the other water come from there today?\nA small blue house near water."), (1, "What is zwei plus drei in numbers here now, fünf or sechs?"), (2, None), (3, ""), (4, "the of and that with other from there the of and. House water.")]
