@@ -108,15 +108,15 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = No
     """(doc_id, source, cluster, piece, bin_id, bin_offset, n_words): where each piece of each document goes.
 
     Lengths are words between white space. cluster names a column of duplicate clusters; without it texts that are
-    equal form one. Documents are dealt to groups of about group_docs by a hash of doc_id, each packed by itself, so
-    bins never span groups. A document without words has one row without a bin. A null source counts as a source of
+    equal form one. Documents are dealt to groups of about group_docs by a hash of doc_id, or of the row's
+    number where it is null, each packed by itself, so bins never span groups. A document without words has one row without a bin. A null source counts as a source of
     its own; repeated rows are documents of their own; empty docs give an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
     group = F.col(cluster).cast("string") if cluster else text
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = stage(docs.select("doc_id", source.alias("source"), words.alias("n"), F.xxhash64(group).alias("cluster")), "packing-lengths")
+    rows = stage(docs.select("doc_id", source.alias("source"), words.alias("n"), F.xxhash64(group).alias("cluster"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row")), "packing-lengths")
     groups = max(1, -(-rows.count() // group_docs))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +130,7 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = No
             out[c] = out[c].astype("Int64")
         return out
 
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(groups)))
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(11), "row"), F.lit(groups))).drop("row")
     return dealt.groupBy("grp").applyInPandas(run, "doc_id long, source string, cluster long, piece long, bin_id long, bin_offset long, n_words long")
 
 

@@ -170,6 +170,12 @@ def test_near_copies_share_no_bin(spark, rows):
     assert len({r.cluster for r in out}) == 5
 
 
+def test_rows_without_id_are_dealt_to_all_groups(spark):
+    docs = spark.createDataFrame([(None, "a b c", f"s{i}") for i in range(200)], "doc_id long, text string, source string")
+    out = packing.best_fit(docs, group_docs=20).collect()
+    assert len(out) == 200 and len({r.bin_id >> 32 for r in out}) > 5
+
+
 # 3: decontamination
 
 ITEMS = [(0, "Which house did the other water come from there today?\nA small blue house near water."), (1, "What is zwei plus drei in numbers here now, fünf or sechs?"), (2, None), (3, ""), (4, "the of and that with other from there the of and. House water.")]
