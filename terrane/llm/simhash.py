@@ -5,13 +5,11 @@ pigeonring principle, a segment from which every run of l consecutive segments d
 is equal, the first two differ in at most one bit, all three in at most two. An equi-join on segments finds the starts,
 the chain's budgets prune, the full Hamming distance decides.
 
-Near copies of a Jaccard similarity of 0.8 lie far more than two of 64 bits apart, so `deduplicated` uses the same filter
-on a wide fingerprint: 2,304 bits over distinct 3-word shingles in a ring of 96 segments. A near copy differs in about
-an eighth of the bits, so several of its segments are equal by chance. A chain must start with an equal segment, its
-next 24 and 40 bits must stay within budgets, then the whole distance; the Jaccard similarity of the texts decides.
-
-What that misses is found by prefix filtering, which is exact: in any common order of shingles, two texts of similarity
-0.8 share one among the first fifth of each. Only shingles that stand in texts of several components are looked at.
+Near copies of a Jaccard similarity of 0.8 lie about ten of 64 bits apart, which no budget that prunes can promise to
+catch. So `copies` takes the pigeonring's links first, on fingerprints of five-word shingles and each checked by the
+similarity of the texts, which joins the closest copies at little cost, and then finds all that is left by prefix
+filtering, which is exact: in any common order of shingles, two texts of similarity 0.8 share one among the first fifth
+of each. Only shingles that stand in texts of several components are looked at. Every pair is checked once.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, forest, stage
@@ -30,19 +27,17 @@ MAX_BITS = 2
 #: A segment value with more fingerprints than this is linked by masked keys instead of pairs.
 HOT_SEGMENT = 1024
 
-#: The wide fingerprint: 64-bit words, segments of 24 bits, and its shingles.
-WIDE_WORDS, WIDE_SEGMENT, WIDE_SHINGLE = 36, 24, 3
-#: Most differing bits in the 24 and the 40 bits after an equal segment, and in all 2,304. A similarity of 0.8 gives
-#: 15.2 % at most in the mean; the budgets lie three to four standard deviations above it.
-WIDE_CHAIN, WIDE_BITS = ((24, 9), (40, 13)), 430
-#: Near copies share this much of their distinct shingles of so many words.
+#: Near copies share this much of their distinct shingles of so many words; in ninths, 9 * shared >= 4 * (both sizes).
 SIMILARITY, VERIFIED_SHINGLE = 0.8, 5
-#: Where a segment value has more texts than this, those not linked through its least text are compared block by block.
-HOT_TEXTS, BLOCK = 32, 128
+#: Texts that share a shingle are paired off up to so many; more are compared in blocks of so many texts, all with all.
+PAIRED, BLOCK = 32, 512
 #: Shingles that come last in the order of the prefix filter: so many at most, the most common ones of so many texts.
 COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
-#: Rows of prefixes that a task sends on at once.
-PREFIX_ROWS = 1 << 18
+#: Rows of prefixes that a task sends on at once; words whose hashes a task keeps; shingles compared at once in a block.
+PREFIX_ROWS, KEPT_WORDS, COLUMNS = 1 << 18, 1 << 18, 1 << 13
+# Odd multipliers of a shingle's five words, and of the mixing that follows.
+LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -146,246 +141,242 @@ def near_duplicates(docs: DataFrame, k: int = 3, hot: int = HOT_SEGMENT) -> Data
     return own.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(hashes: list[int]) -> list[int]:
-    """WIDE_WORDS signed longs; a bit is 1 if it is set in over half of the mixed hashes of distinct shingles; none: zeros."""
-    h = np.unique(np.array(hashes, dtype=np.uint64))
-    votes = np.zeros(64 * WIDE_WORDS, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        lanes = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for i in range(0, len(h), 255):  # sums of bytes hold 255
-            x = h[i : i + 255, None] + lanes[None, :]
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            votes += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(2 * votes > len(h), bitorder="little").view("<i8").tolist()
-
-
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, wide): a hash of the whole word sequence, equal for exact copies, and the wide fingerprint."""
-
-    def run(batches):
-        for b in batches:
-            words = [xxhash.xxh128_hexdigest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "words": words, "wide": [wide_fingerprint(shingle_hashes(t, WIDE_SHINGLE)) for t in b["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words string, wide array<long>")
-
-
-def _windows(nodes: DataFrame) -> DataFrame:
-    """(node, val, after): for each segment of the ring its number and bits, and the 40 bits after it."""
-    out = []
-    for at in range(0, 64 * WIDE_WORDS, WIDE_SEGMENT):
-        word, shift = divmod(at, 64)
-        here, then = F.col("wide")[word], F.col("wide")[(word + 1) % WIDE_WORDS]
-        out.append(F.shiftrightunsigned(here, shift).bitwiseOR(F.shiftleft(then, 64 - shift)) if shift else here)
-    low = (1 << WIDE_SEGMENT) - 1
-    cut = nodes.select("node", F.posexplode(F.array(*out)).alias("seg", "bits"))
-    return cut.select("node", (F.shiftleft(F.col("seg").cast("long"), WIDE_SEGMENT) + F.col("bits").bitwiseAND(low)).alias("val"), F.shiftrightunsigned("bits", WIDE_SEGMENT).alias("after"))
-
-
-def _jaccard(x: set, y: set) -> float:
-    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
-        return 0.0
-    n = len(x & y)
-    return n / (len(x) + len(y) - n) if x or y else 1.0
-
-
-def _near(pdf: pd.DataFrame):
-    """A test of two rows of (wide, text): within WIDE_BITS, where there is wide, and of SIMILARITY or more. Shingles are made when first asked for."""
-    bits = np.stack(pdf["wide"].to_numpy()).astype("int64").view("uint64") if "wide" in pdf else None
-    texts, sets = pdf["text"].tolist(), {}
+class _Words(dict):
+    """XXH64 of a word, kept."""
 
-    def shingles(i: int) -> set:
-        if i not in sets:
-            sets[i] = set(shingle_hashes(texts[i], VERIFIED_SHINGLE))
-        return sets[i]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
 
-    def near(i: int, j: int) -> bool:
-        return (bits is None or int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= WIDE_BITS) and _jaccard(shingles(i), shingles(j)) >= SIMILARITY
-
-    return near
-
-
-def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A forest (a, b) over components, named by their roots, between which there are links from the open texts of one block to its others."""
-    near, known, is_open = _near(pdf), pdf["root"].tolist(), pdf["open"].tolist()
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for i in (i for i, o in enumerate(is_open) if o):
-        for j in range(len(known)):
-            if find(known[i]) != find(known[j]) and near(i, j):
-                root[find(known[i])] = find(known[j])
-                out.append((known[i], known[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _star_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The links (a, b) of a block of texts to the least text of their segment value, which is the row with open false."""
-    near, ids, least = _near(pdf), pdf["node"].tolist(), pdf["open"].tolist().index(False)
-    return pd.DataFrame([(ids[least], ids[i]) for i in range(len(ids)) if i != least and near(least, i)], columns=["a", "b"], dtype="int64")
 
+def shingle_set(words: list[bytes], hashes: _Words) -> np.ndarray:
+    """Ascending distinct hashes, as signed longs, of the shingles of VERIFIED_SHINGLE words; fewer words: the whole; none: none."""
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(h) - VERIFIED_SHINGLE + 1) if len(h) else 0
+    x = np.full(n, min(len(h), VERIFIED_SHINGLE), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(min(len(h), VERIFIED_SHINGLE)):
+            x += h[i : i + n] * LANES[i]
+        x = (x ^ (x >> np.uint64(30))) * MIX[0]
+        x = (x ^ (x >> np.uint64(27))) * MIX[1]
+        x ^= x >> np.uint64(31)
+    return np.unique(x.view(np.int64))
 
-def _chain(xa, xb):
-    x, ok = xa.bitwiseXOR(xb), F.lit(True)
-    for width, most in WIDE_CHAIN:
-        ok = ok & (F.bit_count(x.bitwiseAND((1 << width) - 1)) <= most)
-    return ok
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The 64-bit SimHash of distinct hashes."""
+    if not len(shingles):
+        return 0
+    votes, per = np.zeros(64, dtype=np.int64), 255  # sums of bytes hold 255
+    for i in range(0, len(shingles), per):
+        votes += np.unpackbits(shingles[i : i + per].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view("<i8")[0])
 
-def text_links(nodes: DataFrame, texts: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect the near copies that share a segment of their wide fingerprints.
 
-    nodes has (node, wide), texts (node, text). Where a value has up to hot texts, only those are compared that have a
-    chain within the budgets with another.
-    """
-    of = W.partitionBy("val")
-    shared = _windows(nodes).withColumn("n", F.count("*").over(of)).where("n > 1")
-    near = F.size(F.filter(F.collect_list(F.when(F.col("n") <= hot, F.col("after"))).over(of), lambda x: _chain(x, F.col("after")))) > 1
-    shared = stage(shared.withColumn("near", near | (F.col("n") > hot)).where("near").select("val", "node", "n", F.min("node").over(of).alias("least")), "simhash-wide")
-    return member_links(shared, texts.join(nodes, "node"), block)
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, fp, shingles) of each row: a hash of the word sequence, equal for exact copies, the fingerprint, the shingles."""
 
+    def run(batches):
+        hashes = _Words()
+        for b in batches:
+            for i in range(0, len(b), 500):
+                part, words, fps, sets = b.iloc[i : i + 500], [], [], []
+                for t in part["text"]:
+                    ws = (t or "").encode("utf-8", "replace").lower().split()
+                    words.append(xxhash.xxh128_hexdigest(b" ".join(ws)))
+                    sets.append(shingle_set(ws, hashes))
+                    fps.append(set_fingerprint(sets[-1]))
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "words": words, "fp": np.array(fps, dtype=np.int64), "shingles": sets})
 
-def member_links(shared: DataFrame, content: DataFrame, block: int) -> DataFrame:
-    """Edges (a, b) that connect the near copies among the members of each value.
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words string, fp long, shingles array<long>")
 
-    shared has (val, node, n, least): n members of a value, least the least of them; content (node, text) and perhaps
-    wide. Texts of one value are compared in one task, which returns a forest, never pairs. Values of more than block
-    texts are linked to their least text in blocks first; the texts then outside its component are held against all
-    others, block by block, so no pair is left out and one task sees 2 * block texts at most.
-    """
-    of = W.partitionBy("val")
-    typed, keys = "a long, b long", ["val", "op", "mp"]
 
-    small = shared.where(F.col("n") <= block).select("val", F.lit(0).alias("op"), F.lit(0).alias("mp"), "node", F.col("node").alias("root"), F.lit(True).alias("open"))
-    found = small.join(content, "node").groupBy(*keys).applyInPandas(_block_links, typed)
+def _pair(x, y, where):
+    """The pair (a, b) of nodes x and y in order."""
+    return where.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    cut = lambda df: df.withColumn("part", F.floor((F.row_number().over(of.orderBy("node")) - 1) / block))
-    large = stage(cut(shared.where(F.col("n") > block)), "simhash-large")
-    others = large.where("least < node").select("val", F.col("part").alias("op"), F.lit(0).alias("mp"), "node", F.lit(True).alias("open"))
-    centres = large.select("val", F.col("part").alias("op"), F.lit(0).alias("mp"), F.col("least").alias("node"), F.lit(False).alias("open")).distinct()
-    stars = others.unionByName(centres).join(content, "node").groupBy(*keys).applyInPandas(_star_links, typed)
-    linked = stage(forest(found.unionByName(stars)), "simhash-linked")
 
-    roots = components(linked, "simhash-roots")
-    members = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = F.max(F.when(F.col("node") == F.col("least"), F.col("root"))).over(of)
-    members = stage(members.withColumn("own", own), "simhash-members")
-    opened = stage(cut(members.where("root <> own").select("val", "node", "root")), "simhash-open")
-    open_parts, member_parts = (df.select("val", F.col("part").alias(c)).distinct() for df, c in ((opened, "op"), (members, "mp")))
-    rows = opened.withColumnRenamed("part", "op").join(member_parts, "val").withColumn("open", F.lit(True)).unionByName(members.select("val", "node", "root", F.col("part").alias("mp")).join(open_parts, "val").withColumn("open", F.lit(False)))
-    settled = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return settled.unionByName(rows.join(content, "node").groupBy(*keys).applyInPandas(_block_links, typed))
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes, each once, those whose texts (node, shingles) are of SIMILARITY or more."""
+    side = lambda node, s: texts.select(F.col("node").alias(node), F.col("shingles").alias(s))
+    both = pairs.distinct().join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def _shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, VERIFIED_SHINGLE), dtype=np.uint64).view(np.int64))
+def ring_pairs(texts: DataFrame, hot: int = HOT_SEGMENT) -> DataFrame:
+    """Pairs (a, b) of texts (node, fp) that the pigeonring gives: the least texts of linked fingerprints, and each text with the least of its own."""
+    least = texts.groupBy("fp").agg(F.min("node").alias("least"))
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node"))
+    between = links(least.select("fp"), hot).join(of("a"), "a").join(of("b"), "b").select("a_node", "b_node")
+    return _pair("a_node", "b_node", between).unionByName(_pair("least", "node", texts.select("node", "fp").join(least, "fp").where("node <> least")))
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, ascending, that several texts of a sample have, and how many. Whatever they are, the order they give is right; these keep crowds out of prefixes."""
     chance = min(1.0, COMMON_TEXTS / max(1, texts.count()))
-
-    def run(batches):
-        for b in batches:
-            for t in b["text"]:
-                yield pd.DataFrame({"val": _shingle_set(t)})
-
     sample = texts.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**52)) / float(2**52) <= chance)
-    rows = sample.select("text").mapInPandas(run, "val long").groupBy("val").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "val").limit(COMMON_MOST).collect()
-    found = np.array(sorted((r.val, r.n) for r in rows), dtype=np.int64).reshape(-1, 2)
+    counts = sample.select(F.explode("shingles").alias("val")).groupBy("val").agg(F.count("*").alias("n")).where("n > 1")
+    found = np.array(sorted((r.val, r.n) for r in counts.orderBy(F.desc("n"), "val").limit(COMMON_MOST).collect()), dtype=np.int64).reshape(-1, 2)
     return found[:, 0].copy(), found[:, 1].copy()
 
 
 def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(val, node, root, size, pos): of each text (node, root, text) the first floor(size / 5) + 1 of its size distinct shingles, those not common first, then by hash.
+    """(val, node, root, size, pos): of each text (node, root, shingles) the first floor(size / 5) + 1 of its size shingles, those not common first, then by hash.
 
     Texts of similarity 0.8 share at least four fifths of the larger set, so neither prefix can miss all they share.
     """
     sent = texts.sparkSession.sparkContext.broadcast(common)  # 1 MB at most
+    names = ["val", "node", "root", "size", "pos"]
 
     def run(batches):
         vals, counts = sent.value
         for b in batches:
             out, rows = [], 0
-            for node, root, t in zip(b["node"], b["root"], b["text"]):
-                h = _shingle_set(t)
-                at = np.minimum(np.searchsorted(vals, h), max(0, len(vals) - 1))
-                often = np.where(vals[at] == h, counts[at], 0) if len(vals) else np.zeros(len(h), dtype=np.int64)
-                first = h[np.lexsort((h, often))[: len(h) // 5 + 1]]
-                out.append(pd.DataFrame({"val": first, "node": node, "root": root, "size": np.int32(len(h)), "pos": np.arange(len(first), dtype=np.int32)}))
-                rows += len(first)
+            for node, root, h in zip(b["node"], b["root"], b["shingles"]):
+                if len(vals) and len(h):
+                    at = np.minimum(np.searchsorted(vals, h), len(vals) - 1)
+                    h = h[np.argsort(np.where(vals[at] == h, counts[at], 0), kind="stable")]
+                n = min(len(h), len(h) // 5 + 1)
+                out.append((h[:n], np.full(n, node), np.full(n, root), np.full(n, len(h), dtype=np.int32), np.arange(n, dtype=np.int32)))
+                rows += n
                 if rows > PREFIX_ROWS:
-                    yield pd.concat(out)
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
                     out, rows = [], 0
             if out:
-                yield pd.concat(out)
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
+
+    return texts.select("node", "root", "shingles").mapInPandas(run, "val long, node long, root long, size int, pos int")
 
-    return texts.select("node", "root", "text").mapInPandas(run, "val long, node long, root long, size int, pos int")
 
+def _may_be_near(x: str, y: str):
+    """Whether the sizes of two texts, and what follows a shingle if it is the first they share, allow the similarity."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    small, large = F.least(c(x, "size"), c(y, "size")), F.greatest(c(x, "size"), c(y, "size"))
+    rest = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
+    return (c(x, "root") != c(y, "root")) & (5 * small >= 4 * large) & (9 * rest >= 4 * (small + large))
 
-def missed_links(texts: DataFrame, roots: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all near copies that lie in different components, given as (node, root) of those of more than one text.
 
-    A shingle of up to hot prefixes gives the pairs that their sizes and the shingles after it allow to be near copies;
-    the texts of more crowded ones are compared in blocks, once for each set of texts.
+def _open(shared: DataFrame) -> DataFrame:
+    """shared (val, node, root, size, pos) where a shingle's texts lie in several components; with their number n and the least text's row."""
+    row = F.struct("node", "root", "size", "pos")
+    by = shared.groupBy("val").agg(F.count("*").alias("n"), F.min(row).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return shared.join(by.where("low < high").select("val", "n", "first"), "val")
+
+
+def _rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (node, root, ...) with the roots of their nodes put anew, where they have one."""
+    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A forest (a, b) of links between the open texts of one block and all of another that lie in different components.
+
+    All pairs of the two blocks meet in one product of matrices: shared shingles are counted over those that several texts have.
     """
-    of = W.partitionBy("val")
-    rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keyed = prefixes(rooted, common_shingles(texts))
-    spans = keyed.withColumns({"n": F.count("*").over(of), "low": F.min("root").over(of), "high": F.max("root").over(of)})
-    shared = stage(spans.where("low < high").drop("low", "high"), "simhash-prefixes")
-
-    x = lambda c: F.col("other")[c]
-    others = F.filter(F.collect_list(F.struct("node", "root", "size", "pos")).over(of), lambda o: (
-        (o["node"] > F.col("node")) & (o["root"] != F.col("root")) & (5 * F.least(o["size"], F.col("size")) >= 4 * F.greatest(o["size"], F.col("size")))
-        & (9 * F.least(o["size"] - o["pos"], F.col("size") - F.col("pos")) >= 4 * (o["size"] + F.col("size")))))
-    pairs = shared.where(F.col("n") <= hot).withColumn("others", others).select(F.col("node").alias("a"), F.explode("others").alias("other")).select("a", x("node").alias("b")).distinct()
-
-    def check(batches):
-        for b in batches:
-            ok = [_jaccard(set(shingle_hashes(s, VERIFIED_SHINGLE)), set(shingle_hashes(t, VERIFIED_SHINGLE))) >= SIMILARITY for s, t in zip(b["s"], b["t"])]
-            yield b.loc[ok, ["a", "b"]]
+    node, root, opened = pdf["node"].to_numpy(), pdf["root"].tolist(), np.flatnonzero(pdf["open"].to_numpy())
+    size = np.array([len(s) for s in pdf["shingles"]])
+    row = np.repeat(np.arange(len(size)), size)
+    _, at, n = np.unique(np.concatenate(pdf["shingles"].to_numpy()), return_inverse=True, return_counts=True)
+    column = (np.cumsum(n > 1) - 1)[at]
+    keep = n[at] > 1
+    row, column = row[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(opened), len(size)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        x = np.zeros((len(size), COLUMNS), dtype=np.float32)
+        x[row[a:b], column[a:b] - first] = 1
+        both += x[opened] @ x.T
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(9 * both >= 4 * (size[opened][:, None] + size[None, :]))):
+        x, y = find(root[opened[i]]), find(root[j])
+        if x != y:
+            parent[x] = y
+            out.append((node[opened[i]], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    side = lambda k, t: texts.select(F.col("node").alias(k), F.col("text").alias(t))
-    found = stage(pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").mapInPandas(check, "a long, b long"), "simhash-missed")
 
-    settled = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    now = components(settled.unionByName(found), "simhash-missed-roots")
-    crowd = shared.where(F.col("n") > hot).select("val", "node", "n").join(now, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sets = crowd.groupBy("val").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
-    one = sets.where("low < high").groupBy("sum", "n", "least").agg(F.min("val").alias("val")).select("val", "least")
-    crowded = stage(crowd.select("val", "node", "n").join(one, "val"), "simhash-crowds")
-    return found.unionByName(member_links(crowded, texts, block))
+def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all near copies among the texts (val, node, root, n, first) of each shingle.
 
+    The texts outside the component of a shingle's first text are held against all of its texts, block by block: a
+    task sees two blocks, and returns a forest. A set of texts that several shingles have is gone through once.
+    """
+    sets = crowd.groupBy("val").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("least"))
+    once = sets.groupBy("sum", "n", "least").agg(F.min("val").alias("val")).select("val")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / block))
+    members = stage(crowd.join(once, "val", "left_semi").withColumn("part", part).withColumn("outside", F.col("root") != F.col("first.root")).select("val", "node", "root", "part", "outside"), "simhash-crowds")
+    opened = members.where("outside")
+    parts = lambda df, c: df.select("val", F.col("part").alias(c)).distinct()
+    left = opened.withColumnRenamed("part", "op").join(parts(members, "mp"), "val").withColumn("open", F.lit(True))
+    right = members.withColumnRenamed("part", "mp").join(parts(opened, "op"), "val").withColumn("open", F.lit(False))
+    columns = ["val", "op", "mp", "node", "root", "open"]
+    rows = left.select(*columns).unionByName(right.select(*columns)).join(texts.select("node", "shingles"), "node")
+    return rows.groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
+
+
+def missed_links(texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all near copies among texts (node, shingles) that lie in different components, given as (node, root) of those of more than one text.
+
+    Each shingle of a prefix first links its texts to the least of them. Where they still lie in several components,
+    all pairs across components follow, which sizes and places in the prefix may rule out; shingles of more than
+    `paired` texts get the same by blocks. Whichever way a pair comes, the similarity of its texts decides.
+    """
+    keyed = stage(prefixes(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), common_shingles(texts)), "simhash-prefixes")
+    shared = stage(_open(keyed), "simhash-shared")
+    stars = shared.alias("y").where(F.col("node") != F.col("first.node")).select("first", F.struct("node", "root", "size", "pos").alias("y"))
+    found = stage(similar(_pair("first.node", "y.node", stars.where(_may_be_near("first", "y"))), texts), "simhash-stars")
 
-def copies(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
+    now = components(_settled(roots).unionByName(found), "simhash-star-roots")
+    left = stage(_open(_rerooted(shared.drop("n", "first"), now)), "simhash-left")
+    side = left.where(F.col("n") <= paired)
+    x, y = side.alias("x"), side.drop("n", "first").alias("y")
+    across = x.join(y, F.col("x.val") == F.col("y.val")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.node") != F.col("x.first.node")) & _may_be_near("x", "y"))
+    more = stage(found.unionByName(similar(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), texts)), "simhash-missed")
+
+    if not left.where(F.col("n") > paired).limit(1).count():
+        return more
+    now = components(_settled(now).unionByName(more), "simhash-missed-roots")
+    crowd = stage(_open(_rerooted(left.where(F.col("n") > paired).drop("n", "first"), now)), "simhash-crowd")
+    return more.unionByName(forest(crowd_links(crowd, texts, block)))
+
+
+def _settled(roots: DataFrame) -> DataFrame:
+    return roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
+def copies(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """(doc_id, root) for each doc_id: root is the least doc_id reachable over exact and near copies, itself included.
 
     Texts of equal words are exact copies; near copies share SIMILARITY of their distinct shingles of VERIFIED_SHINGLE
     words (with fewer words: the whole). Null and blank texts are copies of each other; rows of one doc_id are one
     document; rows without doc_id are left out; an empty table gives an empty result; other columns are not read.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    own = stage(wide_fingerprints(docs), "simhash-wides")
-    least = own.groupBy("words").agg(F.min("doc_id").alias("node"), F.min_by("wide", "doc_id").alias("wide"))
-    nodes = stage(least.select("words", "node", "wide"), "simhash-texts")
-    texts = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct()
-    same = own.join(nodes.select("words", "node"), "words").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    ring = components(text_links(nodes.select("node", "wide"), texts, hot, block), "simhash-ring")
-    settled = ring.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    near = settled.unionByName(missed_links(texts, ring, hot, block))
-    roots = components(near.unionByName(same.where("a <> b")), "simhash-copies")
+    own = stage(sketches(docs.select("doc_id", "text").where("doc_id is not null")).withColumn("rid", F.monotonically_increasing_id()), "simhash-sketches")
+    least = own.groupBy("words").agg(F.min(F.struct("doc_id", "rid")).alias("m")).select("words", F.col("m.doc_id").alias("node"), F.col("m.rid").alias("rid"))
+    texts = stage(own.join(least.select("rid"), "rid", "left_semi").select(F.col("doc_id").alias("node"), "fp", "shingles"), "simhash-texts")
+    ring = components(similar(ring_pairs(texts), texts), "simhash-ring")
+    near = _settled(ring).unionByName(missed_links(texts, ring, paired, block))
+    same = own.join(least.select("words", "node"), "words").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    roots = components(near.unionByName(same), "simhash-copies")
     return own.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 
-def deduplicated(docs: DataFrame, hot: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
-    """docs with their columns, one document, that of least doc_id, of each group of copies; rows of one doc_id stay together, rows without one stay."""
-    kept = copies(docs, hot, block).where("doc_id = root").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def deduplicated(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+    """docs with their columns, one document, that of least doc_id, of each group of copies; rows of one doc_id stay together, rows without one stay.
+
+    Null and blank texts are one group; very long texts are compared whole; an empty table stays empty; a column of any
+    other name passes through as it is.
+    """
+    kept = stage(copies(docs, paired, block).where("doc_id = root").select(F.col("doc_id").alias("kept_id")), "simhash-kept")
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))

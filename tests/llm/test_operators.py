@@ -441,18 +441,18 @@ def test_forest_connects_the_same_nodes(spark, most):
     assert common.forest(edges.where("false"), most).count() == 0
 
 
-@pytest.mark.parametrize("hot, block", [(32, 128), (1, 2)])
-def test_copies(spark, docs, rows, nothing, hot, block):
+@pytest.mark.parametrize("paired, block", [(32, 512), (2, 50)])
+def test_copies(spark, docs, rows, nothing, paired, block):
     rows_ = [r for r in rows if r[0] is not None]
-    same(got(simhash.copies(docs, hot, block)), list(brute_copies(rows_).items()))
+    same(got(simhash.copies(docs, paired, block)), list(brute_copies(rows_).items()))
     mine = edited_texts()
     edited = spark.createDataFrame([(*r, "x") for r in mine], "doc_id long, text string, node string").repartition(3)
     want = brute_copies(mine)
-    same(got(simhash.copies(edited, hot, block)), list(want.items()))
+    same(got(simhash.copies(edited, paired, block)), list(want.items()))
     assert 28 <= len(set(want.values())) < len(want)
-    assert {r[0] for r in got(simhash.deduplicated(edited, hot, block))} == set(want.values())
+    assert {r[0] for r in got(simhash.deduplicated(edited, paired, block))} == set(want.values())
     assert simhash.deduplicated(edited).columns == edited.columns
-    assert simhash.copies(nothing, hot, block).count() == 0
+    assert simhash.copies(nothing, paired, block).count() == 0
 
 
 def shared_fifths():
@@ -472,12 +472,12 @@ def shared_fifths():
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
-@pytest.mark.parametrize("hot, block", [(32, 128), (1, 2)])
-def test_copies_just_over_the_similarity(spark, hot, block):
+@pytest.mark.parametrize("paired, block", [(32, 512), (2, 50)])
+def test_copies_just_over_the_similarity(spark, paired, block):
     mine = shared_fifths()
     want = brute_copies(mine)
     assert sum(want[i] == i - 1 for i in range(1, len(mine), 2)) == len(mine) // 2
-    same(got(simhash.copies(spark.createDataFrame(mine, "doc_id long, text string").repartition(3), hot, block)), list(want.items()))
+    same(got(simhash.copies(spark.createDataFrame(mine, "doc_id long, text string").repartition(3), paired, block)), list(want.items()))
 
 
 # 8: secrets
