@@ -33,11 +33,14 @@ SIMILARITY, VERIFIED_SHINGLE = 0.8, 5
 PAIRED, BLOCK = 32, 512
 #: Shingles that come last in the order of the prefix filter: so many at most, the most common ones of so many texts.
 COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
-#: Rows of prefixes that a task sends on at once; words whose hashes a task keeps; shingles compared at once in a block.
-PREFIX_ROWS, KEPT_WORDS, COLUMNS = 1 << 18, 1 << 18, 1 << 13
-# Odd multipliers of a shingle's five words, and of the mixing that follows.
-LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: Rows of prefixes that a task sends on at once; words of a text hashed at once; shingles compared at once in a block.
+PREFIX_ROWS, PIECE_WORDS, COLUMNS = 1 << 18, 1 << 15, 1 << 13
+# Rolling hashes of byte ranges: a number for each byte, an odd base and its inverse modulo 2**64; and what mixes them.
+BYTES = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: A-Z lower-cased, the blanks that part words made spaces.
+FOLD = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shingle_hashes(text: str | None, k: int) -> list[int]:
@@ -141,28 +144,46 @@ def near_duplicates(docs: DataFrame, k: int = 3, hot: int = HOT_SEGMENT) -> Data
     return own.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-class _Words(dict):
-    """XXH64 of a word, kept."""
+class Powers:
+    """Powers of BASE and of its inverse modulo 2**64, as far as they have been asked for."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 42)
-        return h
+    def __init__(self):
+        self.up = self.down = np.zeros(0, dtype=np.uint64)
 
+    def to(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 1 << 16)
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, dtype=np.uint64)), dtype=np.uint64) for base in (BASE, pow(BASE, -1, 2**64)))
 
-def shingle_set(words: list[bytes], hashes: _Words) -> np.ndarray:
-    """Ascending distinct hashes, as signed longs, of the shingles of VERIFIED_SHINGLE words; fewer words: the whole; none: none."""
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = max(1, len(h) - VERIFIED_SHINGLE + 1) if len(h) else 0
-    x = np.full(n, min(len(h), VERIFIED_SHINGLE), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(min(len(h), VERIFIED_SHINGLE)):
-            x += h[i : i + n] * LANES[i]
+
+def folded(text: str | None) -> bytes:
+    """The words of a text, lower-cased in A-Z, one space between two."""
+    out = (text or "").encode("utf-8", "replace").translate(FOLD)
+    while b"  " in out:
+        out = out.replace(b"  ", b" ")
+    return out.strip(b" ")
+
+
+def shingle_set(words: bytes, powers: Powers) -> np.ndarray:
+    """Ascending distinct hashes, as signed longs, of the shingles of VERIFIED_SHINGLE words of a folded text; fewer words: the whole; none: none."""
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    data = np.frombuffer(words, dtype=np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    k = min(VERIFIED_SHINGLE, len(gaps) + 1)
+    starts, ends = np.append(0, gaps + 1)[: len(gaps) + 2 - k], np.append(gaps, len(data))[k - 1 :]
+    out = []
+    for i in range(0, len(starts), PIECE_WORDS):
+        s, e = starts[i : i + PIECE_WORDS], ends[i : i + PIECE_WORDS]
+        first = s[0]
+        powers.to(int(e[-1] - first))
+        sums = np.cumsum(BYTES[data[first : e[-1]]] * powers.up[: e[-1] - first], dtype=np.uint64)
+        s, e = s - first, e - first
+        x = (sums[e - 1] - np.where(s > 0, sums[s - 1], np.uint64(0))) * powers.down[s]
         x = (x ^ (x >> np.uint64(30))) * MIX[0]
         x = (x ^ (x >> np.uint64(27))) * MIX[1]
-        x ^= x >> np.uint64(31)
-    return np.unique(x.view(np.int64))
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.unique(np.concatenate(out).view(np.int64))
 
 
 def set_fingerprint(shingles: np.ndarray) -> int:
@@ -179,14 +200,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, words, fp, shingles) of each row: a hash of the word sequence, equal for exact copies, the fingerprint, the shingles."""
 
     def run(batches):
-        hashes = _Words()
+        powers = Powers()
         for b in batches:
             for i in range(0, len(b), 500):
                 part, words, fps, sets = b.iloc[i : i + 500], [], [], []
                 for t in part["text"]:
-                    ws = (t or "").encode("utf-8", "replace").lower().split()
-                    words.append(xxhash.xxh128_hexdigest(b" ".join(ws)))
-                    sets.append(shingle_set(ws, hashes))
+                    ws = folded(t)
+                    words.append(xxhash.xxh128_hexdigest(ws))
+                    sets.append(shingle_set(ws, powers))
                     fps.append(set_fingerprint(sets[-1]))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "words": words, "fp": np.array(fps, dtype=np.int64), "shingles": sets})
 
