@@ -1,106 +1,28 @@
-"""Shared helpers: tables in the shared folder, and connected components over them."""
+"""What the operators share: tables in the shared folder, connected components, and broadcasts that need no package on executors."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="terrane-")
-        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from ..operators.graph import components, forest
+from ..sources.tables import discard, fresh_path, remove, shared_dir
+from ..sources.tables import staged as stage
 
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder through Spark's file system layer."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["components", "discard", "forest", "fresh_path", "opened", "remove", "sent", "shared_dir", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def forest(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """Edges (a, b) that connect the same nodes as the given ones: of each partition only those that join two of its components.
-
-    Rows meet by b, and AQE splits a partition that is too large, as any split is right. A task forgets its components
-    at `most` nodes, which bounds its memory and costs only rows. Empty edges give an empty result.
-    """
-
-    def run(batches):
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for batch in batches:
-            kept = []
-            for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
-                if (x := find(a)) != (y := find(b)):
-                    root[x] = y
-                    kept.append((a, b))
-                if len(root) > most:
-                    root.clear()
-            yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
-
-    return edges.select("a", "b").hint("rebalance", F.col("b")).mapInPandas(run, "a long, b long")
-
-
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components of undirected edges (a, b) of longs, as (node, root), root being the least node.
-
-    Alternating large-star and small-star rounds: every round is joins and sums over the edges, never a group in one
-    task, and every round's edges are written to the shared folder. Nodes without an edge, or only with
-    themselves, are not returned; empty edges give an empty result.
-    """
-    spark = edges.sparkSession
+def sent(spark: SparkSession, value):
+    """A broadcast of value as bytes that carry its classes by value."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
-    def rounds(e: DataFrame) -> DataFrame:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
-    def digest(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        return row.n, row.h
+def opened(broadcast):
+    """The value of a broadcast by `sent`, on an executor."""
+    import pickle
 
-    now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), label)
-    before = digest(now)
-    while before[0]:
-        now = stage(rounds(now), label)
-        after = digest(now)
-        if after == before:
-            break
-        before = after
-    roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.join(now.select(F.col("a").alias("node")), "node", "left_anti"))
+    return pickle.loads(broadcast.value)

@@ -7,7 +7,6 @@ filter of width w sees one of 64**w symbol strings, its responses are tabled onc
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -15,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import opened, sent
+
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 #: Bounds of the training sample: documents, windows of each, and code points of a window's excerpt.
 SAMPLE_DOCS, SAMPLE_WINDOWS, EXCERPT = 3000, 3, 400
@@ -22,7 +23,11 @@ EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 20240229
 UNKNOWN = "und"
 #: A text is of a learned script if this share of its letters is; a letter is learned if this share of sample documents has it.
 KNOWN_LETTERS, LETTER_DOCS = 0.5, 0.001
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether the whole text has a letter; numerals, superscripts and circled digits are none."""
+    return any(map(str.isalpha, text))
 
 
 def symbol_table() -> np.ndarray:
@@ -145,11 +150,11 @@ def train(docs: DataFrame) -> Network | None:
     if not langs:
         return None
     symbols, at = symbol_table(), {lang: i for i, lang in enumerate(langs)}
-    kept = [(windows(c, symbols)[0], at[r.lang]) for r in rows for c in r.cuts if _LETTER.search(c)]
+    kept = [(windows(c, symbols)[0], at[r.lang]) for r in rows for c in r.cuts if has_letter(c)]
     if not kept:
         return None
     net = Network(langs)
-    seen = Counter(c for r in rows for c in set("".join(r.cuts).lower()) if _LETTER.match(c))
+    seen = Counter(c for r in rows for c in set("".join(r.cuts).lower()) if c.isalpha())
     net.letters = "".join(sorted(c for c, n in seen.items() if n >= LETTER_DOCS * len(rows)))
     net.train(np.stack([x for x, _ in kept]), np.array([y for _, y in kept]))
     return net
@@ -168,22 +173,22 @@ def familiar(text: str, table: np.ndarray) -> bool:
     return n[2] >= KNOWN_LETTERS * (n[1] + n[2])
 
 
-def predicted(docs: DataFrame, net: Network | None, keep: list[str], scripts: bool = False) -> DataFrame:
-    """Columns keep of docs, lang_pred and score: the mean over all windows of a text, each by its share of letters.
+def predicted(docs: DataFrame, net: Network | None, keep: list[str], scripts: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns keep of docs, and the language and its score under the names given: the mean over all windows of a text, each by its share of letters.
 
     A text that is null or has no letters gets `und` with score 0, as does every text without a network
     and, with scripts, every text that is not familiar.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(net)  # under 100 kB
+    network = sent(docs.sparkSession, net)  # under 100 kB
 
     def run(batches):
-        net, symbols = sent.value, symbol_table()
+        net, symbols = opened(network), symbol_table()
         tables = net.tables() if net else None
         known = letter_tables(net.letters) if net and scripts else None
         for b in batches:
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
-                texts = [t if net and t and _LETTER.search(t) and (known is None or familiar(t, known)) else None for t in part["text"]]
+                texts = [t if net and t and has_letter(t) and (known is None or familiar(t, known)) else None for t in part["text"]]
                 lang, score = np.full(len(part), UNKNOWN, dtype=object), np.zeros(len(part))
                 if has := [k for k, t in enumerate(texts) if t]:
                     cut = [windows(texts[k], symbols) for k in has]
@@ -193,9 +198,9 @@ def predicted(docs: DataFrame, net: Network | None, keep: list[str], scripts: bo
                     mean = np.add.reduceat(net.predict(x, tables) * share[:, None], starts) / np.add.reduceat(share, starts)[:, None]
                     lang[has] = np.array(net.langs, dtype=object)[mean.argmax(1)]
                     score[has] = np.minimum(mean.max(1), 1.0)
-                yield part[keep].assign(lang_pred=lang, score=score)
+                yield part[keep].assign(**{names[0]: lang, names[1]: score})
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, docs.select(*keep).withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -215,7 +220,13 @@ def least_score(docs: DataFrame, net: Network | None) -> float:
 
 
 def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
-    """docs with their columns, without those of unknown language, of a script not learned, or of a score below least, by default least_score."""
+    """docs with their columns, without those of unknown language, of a script not learned, or of a score below least, by default least_score.
+
+    Null and empty texts and those without letters go; repeated rows each stay or go alike; very long texts are read
+    whole; an empty table stays empty; columns of any other name pass through as they are.
+    """
     net = train(docs)
     least = least_score(docs, net) if least is None else least
-    return predicted(docs.withColumnsRenamed({"lang_pred": "lang_pred_", "score": "score_"}), net, [{"lang_pred": "lang_pred_", "score": "score_"}.get(c, c) for c in docs.columns], scripts=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score").toDF(*docs.columns)
+    lang, score = (next(n for i in range(len(docs.columns) + 1) if (n := f"{name}_{i}").lower() not in {c.lower() for c in docs.columns}) for name in ("lang_pred", "score"))
+    told = predicted(docs, net, docs.columns, scripts=True, names=(lang, score))
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

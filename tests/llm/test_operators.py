@@ -178,7 +178,7 @@ def test_rows_without_id_are_dealt_to_all_groups(spark):
 
 # 3: decontamination
 
-ITEMS = [(0, "Which house did the other water come from there today?\nA small blue house near water."), (1, "What is zwei plus drei in numbers here now, fünf or sechs?"), (2, None), (3, ""), (4, "the of and that with other from there the of and. House water.")]
+ITEMS = [(None, "An item without any number, which nobody has ever given one, is still an item.\nIt must be found like any other."), (0, "Which house did the other water come from there today?\nA small blue house near water."), (1, "What is zwei plus drei in numbers here now, fünf or sechs?"), (2, None), (3, ""), (4, "the of and that with other from there the of and. House water.")]
 
 
 def brute_scores(index, passage):
@@ -204,35 +204,52 @@ def test_wand_finds_all_above_the_threshold():
         for _ in range(80):
             passage = [rng.choice(vocabulary) for _ in range(rng.randint(1, 60))]
             terms = sorted({index.vocabulary[w] for w in passage if w in index.vocabulary})
-            found = dict(index.search(terms))
-            live = [x for i in index.live(np.array(terms, dtype=int)) for x in index.search(terms, int(i) * index.span, (int(i) + 1) * index.span)]
-            assert sorted(live) == sorted(found.items())
+            found = dict(index.search(np.array(terms, dtype=int)))
             want = {i: s for i, s in brute_scores(index, passage).items() if s >= threshold}
             assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-9 for i in want)
 
 
+def brute_split(text):
+    """Question and answer as words: the last line with words is the answer, else the last sentence."""
+    of = lambda t: re.findall(r"\w+", t.lower())
+    text = text.strip()
+    cuts = [m.start() for m in re.finditer("\n", text)][-1:] or [m.start() for m in re.finditer(r"(?<=[.!?])\s", text)][-1:]
+    for c in cuts:
+        if of(text[:c]) and of(text[c:]):
+            return of(text[:c]), of(text[c:])
+    return of(text), []
+
+
 def brute_contaminations(rows, items):
-    index = decontaminate.Index([(i, t) for i, t in items if t and re.search(r"\w", t)])
-    out = set()
+    """Every item against every window: BM25 share of the item, then the shares of its question's and answer's word runs."""
+    items = [(i, *brute_split(t)) for i, t in items if t and re.search(r"\w", t)]
+    parts = type("", (), {"parts": [(q, a) for _, q, a in items]})
+    step, out = max(32, *(len(q) + len(a) for _, q, a in items)), set()
+
+    def share(part, passage):
+        n = min(5, len(part))
+        runs = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)} if n else set()
+        return sum(any(tuple(passage[k : k + n]) == r for k in range(len(passage) - n + 1)) for r in runs) / len(runs) if runs else None
+
     for d, t, *_ in rows:
         ws = re.findall(r"\w+", (t or "").lower())
-        step = max(32, index.longest)
         for s in range(0, max(1, len(ws) - step), step):
             passage = ws[s : s + 2 * step]
-            for i, score in brute_scores(index, passage).items():
-                q, a = index.verify(i, passage)
-                if score >= 0.6 - 1e-9 and q >= 0.8 and a >= 0.8:
-                    out.add((d, index.ids[i]))
+            for k, score in brute_scores(parts, passage).items():
+                if score >= 0.6 - 1e-9:
+                    q, a = (share(x, passage) for x in parts.parts[k])
+                    if (q or 0) >= 0.8 and (q if a is None else a) >= 0.8:
+                        out.add((d, items[k][0]))
     return out
 
 
 def test_decontamination(spark, docs, rows, nothing):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     filler = "noise word here " * 200
-    extra = [(900 + i, text, "en", "s", 1, 1, 1, "k") for i, text in enumerate([ITEMS[0][1], filler + ITEMS[1][1].upper() + filler, filler, "Which house did the other water come from there today? Nothing."])]
+    extra = [(900 + i, text, "en", "s", 1, 1, 1, "k") for i, text in enumerate([ITEMS[1][1], filler + ITEMS[2][1].upper() + filler, filler, "Which house did the other water come from there today? Nothing.", ITEMS[0][1]])]
     both = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(both, bench).collect()}
-    assert found == brute_contaminations(rows + extra, ITEMS) and {(900, 0), (901, 1)} <= found and not any(d in (902, 903) for d, _ in found)
+    assert found == brute_contaminations(rows + extra, ITEMS) and {(900, 0), (901, 1), (904, None)} <= found and not any(d in (902, 903) for d, _ in found)
     left = decontaminate.clean(both, bench)
     assert left.columns == both.columns and {r.doc_id for r in left.select("doc_id").collect()} == {r[0] for r in rows + extra} - {d for d, _ in found}
     assert decontaminate.contaminations(nothing, bench).count() == 0
@@ -541,6 +558,22 @@ def test_language(spark, docs, rows, nothing):
     assert {(r.lang_pred, r.score) for r in langid.identify(unlabelled).collect()} == {("und", 0.0)}
 
 
+def test_numerals_are_no_letters_and_names_may_clash(spark, rows):
+    odd = [(700, "²³ ¼ ① 12"), (701, "x²")]
+    mine = [(d, t, lang, "a", "b") for d, t, lang, *_ in rows if d is not None and 0 <= d < 60] + [(*x, None, "a", "b") for x in odd]
+    docs = spark.createDataFrame(mine, "doc_id long, text string, lang string, lang_pred_ string, SCORE_0 string").withColumnRenamed("lang_pred_", "lang_pred")
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert out[700] == "und" != out[701]
+    kept = langid.accepted(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(60))
+
+
+def test_training_learns_four_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    assert len({r.lang for r in both}) == 4 and np.mean([r.lang == r.lang_pred for r in both]) > 0.97
+
+
 def test_unlearned_scripts_go_and_clean_documents_stay(spark, rows):
     alien = ["Это простой текст о погоде и доме у реки. " * 8, "Αυτό είναι ένα απλό κείμενο για το σπίτι. " * 8, "今日は天気がいいので公園を散歩しました。" * 12]
     mine = [(d, t, lang) for d, t, lang, *_ in rows if d is not None and 0 <= d < 60] + [(900 + i, t, None) for i, t in enumerate(alien)]
