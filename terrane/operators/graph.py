@@ -2,52 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..sources.tables import staged
+from ..sources.tables import discard, staged
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of undirected edges (a, b): each node's label falls to its neighbours' least, and on to that label's own, until none falls."""
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc-labels")
-    while True:
-        least = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("low")).withColumnRenamed("a", "node")
-        fallen = labels.join(least, "node").select("node", F.least("root", "low").alias("next"), "root")
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("further"))
-        now = staged(fallen.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("root"), F.col("root").alias("before")), "cc-labels")
-        moved = now.where("root <> before").limit(1).count()
-        labels = now.select("node", "root")
-        if not moved:
-            return labels
+#: Layers of improvements that a search keeps apart.
+MERGE = 8
+
+
+def forest(edges: DataFrame, most: int = 1 << 20, by: str = "b") -> DataFrame:
+    """Edges (a, b) that connect the same nodes as the given ones: of each partition only those that join two of its components.
+
+    Rows meet by b, or by another column that brings near nodes together, and AQE splits a partition that is too large, as any split is right. A task forgets its components
+    at `most` nodes, which bounds its memory and costs only rows. Empty edges give an empty result.
+    """
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+                if (x := find(a)) != (y := find(b)):
+                    root[x] = y
+                    kept.append((a, b))
+                if len(root) > most:
+                    root.clear()
+            yield pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return edges.select("a", "b", F.col(by).alias("by")).hint("rebalance", F.col("by")).select("a", "b").mapInPandas(run, "a long, b long")
+
+
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """Connected components of undirected edges (a, b) of longs, as (node, root), root being the least node.
+
+    Alternating large-star and small-star rounds: every round is joins and sums over the edges, never a group in one
+    task, and every round's edges are written to the shared folder. Nodes without an edge, or only with
+    themselves, are not returned; empty edges give an empty result.
+    """
+
+    def rounds(e: DataFrame) -> DataFrame:
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+
+    def put(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """e staged, and its number of rows and sum of hashes, counted while it is written."""
+        seen = Observation()
+        out = staged(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), label)
+        return out, (seen.get["n"], seen.get["h"])
+
+    now, before = put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    while before[0]:
+        old = now
+        now, after = put(rounds(old))
+        discard(old)
+        if after == before:
+            break
+        before = after
+    roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.join(now.select(F.col("a").alias("node")), "node", "left_anti"))
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node): all that directed edges (src, dst) reach from the start nodes, those included."""
-    seen = frontier = staged(start.select("node").distinct(), "reach")
-    while frontier.limit(1).count():
+    frontier = staged(start.select("node").distinct(), "reach")
+    layers = [frontier]
+    while True:
         step = edges.join(frontier, edges.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = staged(step.join(seen, "node", "left_anti"), "reach")
-        seen = staged(seen.unionByName(frontier), "reach-seen")
-    return seen
+        seen, known = Observation(), reduce(DataFrame.unionByName, layers)
+        frontier = staged(step.join(known, "node", "left_anti").observe(seen, F.count("*").alias("n")), "reach")
+        if not seen.get["n"]:
+            return known
+        layers.append(frontier)
+        if len(layers) >= MERGE:
+            merged = staged(reduce(DataFrame.unionByName, layers), "reach")
+            discard(*layers[:-1])
+            layers = [merged]
 
 
-def shortest(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, dist, origin, parent): the least cost from any seed (node, dist, origin) over directed edges (src, dst, weight).
+def shortest(edges: DataFrame, seeds: DataFrame, most: float | None = None) -> DataFrame:
+    """(node, dist, origin, parent): the least cost, up to most if that is given, from any seed (node, dist, origin) over directed edges (src, dst, weight).
 
-    Rounds relax from the nodes that improved last; ties go to the least origin, then the least parent.
+    Rounds relax from the nodes that improved last; ties go to the least origin, then the least parent. A round writes
+    only what improved. The layers are merged once there are MERGE of them, so that no round reads many tables.
     """
-    pick = F.min(F.struct("dist", "origin", "parent")).alias("best")
-    first = seeds.select("node", F.col("dist").cast("double").alias("dist"), "origin", F.lit(None).cast("long").alias("parent"))
-    best = frontier = staged(first.groupBy("node").agg(pick).select("node", "best.*"), "sssp")
-    while frontier.limit(1).count():
-        tried = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), "origin", F.col("node").alias("parent"))
-        offer = tried.groupBy("node").agg(pick).select("node", "best.*")
-        old = best.select("node", F.struct("dist", "origin").alias("old"))
-        frontier = staged(offer.join(old, "node", "left").where("old is null or struct(dist, origin) < old").drop("old"), "sssp-front")
-        best = staged(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), "sssp")
-    return best
+    best = F.min(F.struct("dist", "origin", "parent")).alias("best")
+    least = lambda df: df.groupBy("node").agg(best).select("node", "best.*")
+    near = F.lit(True) if most is None else F.col("dist") <= most
+    out = staged(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).hint("rebalance", F.col("src")), "sssp-edges")
+    first = seeds.select("node", F.col("dist").cast("double").alias("dist"), "origin", F.lit(None).cast("long").alias("parent")).where(near)
+    frontier = staged(least(first), "sssp")
+    layers = [frontier]
+    while True:
+        tried = frontier.join(out, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), "origin", F.col("node").alias("parent")).where(near)
+        offer, known = least(tried), reduce(DataFrame.unionByName, layers)
+        old = known.groupBy("node").agg(F.min(F.struct("dist", "origin")).alias("old"))
+        seen = Observation()
+        better = offer.join(old, "node", "left").where("old is null or struct(dist, origin) < old").drop("old")
+        frontier = staged(better.observe(seen, F.count("*").alias("n")), "sssp")
+        if not seen.get["n"]:
+            return least(known)
+        layers.append(frontier)
+        if len(layers) >= MERGE:
+            merged = staged(least(reduce(DataFrame.unionByName, layers)), "sssp")
+            discard(*layers[:-1])
+            layers = [merged]
 
 
 def transpose(edges: DataFrame) -> DataFrame:
