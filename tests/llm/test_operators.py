@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from terrane.llm import common, decontaminate, langid, packing, pii, secrets, sharding, simhash, tokens, warc, weighted
 
@@ -585,9 +586,9 @@ def test_unlearned_scripts_go_and_clean_documents_stay(spark, rows):
 # 10: sharding
 
 
-@pytest.mark.parametrize("range_rows", [3, 10_000])
-def test_sharding(docs, rows, nothing, range_rows):
-    out = sharding.shards(docs, range_rows=range_rows).collect()
+@pytest.mark.parametrize("range_rows, max_ranges", [(3, 20_000), (3, 4), (10_000, 20_000)])
+def test_sharding(docs, rows, nothing, range_rows, max_ranges):
+    out = sharding.shards(docs, range_rows=range_rows, max_ranges=max_ranges).collect()
     same([(r.doc_id, r.size, r.text_crc32) for r in out], [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows])
     total, most = sum(r.size for r in out), max(r.size for r in out)
     slots, sizes = defaultdict(list), Counter()
@@ -600,3 +601,9 @@ def test_sharding(docs, rows, nothing, range_rows):
     in_order = [r.text_crc32 for r in sorted(out, key=lambda r: (r.shard, r.slot))]
     assert in_order == sorted(in_order)
     assert sharding.shards(nothing).count() == 0
+
+
+def test_ranges_of_repeated_rows_are_cut(spark):
+    rows = sharding.stage(spark.range(4000).select(F.lit(7 << 31).alias("crc"), F.lit(5).alias("size"), F.col("id").alias("rid")), "test").withColumn("key", F.col("crc") + F.pmod(F.xxhash64("rid"), F.lit(2048)))
+    bounds, sums = sharding._splitters(rows, 4000, 20_000, 100, 8)
+    assert sum(n for _, n, _ in sums) == 4000 and max(n for _, n, _ in sums) <= 1000 and len(sums) == len(bounds) + 1
