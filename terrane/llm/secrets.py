@@ -19,12 +19,14 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # the runs of [0-9a-f]+ that are long enough
     ("forge", r"gh[oprsu]_[A-Za-z0-9]{30,}", 0, 34),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 20),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 30),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?", 0, 20),
 )
 BASE = 3
-#: Owners from which on a value is a copied example; letters and length from which on it looks live.
-EXAMPLE_OWNERS, LIVE_LETTERS, LIVE_LENGTH = 3, 8, 12
+#: A value is a copied example from so many owners on, or from so many repositories of two owners.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
+#: A value of one owner looks live in so many of its repositories at most, with so many different letters and so long.
+LIVE_REPOSITORIES, LIVE_LETTERS, LIVE_LENGTH = 3, 8, 12
 
 
 def _matches(text: Column, number: int) -> Column:
@@ -49,8 +51,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     """For each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live.
 
     spans are kind:start:end in code points, by start and then kind; the base kinds come from their fixed patterns,
-    the others are added. n_example counts spans whose value EXAMPLE_OWNERS owners carry, n_live those that look random
-    and that one owner carries. Null and empty texts: no spans. A null owner counts as one more owner. Repeated rows
+    the others are added. n_example counts spans whose value EXAMPLE_OWNERS owners carry, or two in EXAMPLE_REPOSITORIES
+    repositories; n_live those that look random and that one owner carries, in LIVE_REPOSITORIES of its repositories at most. Null and empty texts: no spans. A null owner counts as one more owner. Repeated rows
     each give a row. A column that an owner or repository names and that docs lacks counts as null.
     """
     have = set(docs.columns)
@@ -73,8 +75,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     by_row = told.groupBy("rid").agg(
         *[F.count_if(F.col("kind") == i).alias(f"n_{KINDS[i][0]}") for i in range(BASE)],
         F.array_sort(F.collect_list(F.struct("start", "kind", "span"))).alias("all"),
-        F.count_if(F.col("owners") >= EXAMPLE_OWNERS).alias("n_example"),
-        F.count_if((F.col("owners") == 1) & F.col("lively")).alias("n_live"),
+        F.count_if((F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= EXAMPLE_REPOSITORIES))).alias("n_example"),
+        F.count_if((F.col("owners") == 1) & (F.col("repos") <= LIVE_REPOSITORIES) & F.col("lively")).alias("n_live"),
     )
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["span"]), ",")
     out = found.select("rid", "doc_id").join(by_row, "rid", "left")

@@ -112,20 +112,38 @@ def masked_links(members: DataFrame) -> DataFrame:
     return keyed.join(least, ["mask", "key"]).where("fp > a").select("a", F.col("fp").alias("b"))
 
 
-def links(fps: DataFrame, hot: int = HOT_SEGMENT) -> DataFrame:
-    """Edges (a, b) that link the same distinct fingerprints as all pairs of at most MAX_BITS differing bits."""
-    segs = _segments(fps)
-    sizes = segs.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = stage(segs.join(sizes, ["seg", "val"]), "simhash-segments")
-    cool = keyed.where(F.col("n") <= hot).select("seg", "val", "fp")
-    a, b = cool.withColumnRenamed("fp", "a"), cool.withColumnRenamed("fp", "b")
+def _sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys others have too, with their number n."""
+    return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), keys)
+
+
+def _pairs(rows: DataFrame, keys: list[str], chain) -> DataFrame:
+    """Pairs (a, b) of fingerprints with equal keys whose chain is within its budgets, and then all their bits."""
+    a, b = rows.select(*keys, F.col("fp").alias("a")), rows.select(*keys, F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    chain = F.lit(False)
-    for i in range(len(SEGMENTS)):
-        nxt = F.bit_count(_segment(x, (i + 1) % len(SEGMENTS)))
-        chain = chain | ((F.col("seg") == i) & (nxt <= 2 * MAX_BITS // len(SEGMENTS)))
-    pairs = a.join(b, ["seg", "val"]).where(F.col("a") < F.col("b")).where(chain).where(F.bit_count(x) <= MAX_BITS).select("a", "b")
-    return pairs.unionByName(masked_links(keyed.where(F.col("n") > hot))).distinct()
+    return a.join(b, keys).where(F.col("a") < F.col("b")).where(chain(x)).where(F.bit_count(x) <= MAX_BITS).select("a", "b")
+
+
+def links(fps: DataFrame, hot: int = HOT_SEGMENT) -> DataFrame:
+    """Edges (a, b) that link the same distinct fingerprints as all pairs of at most MAX_BITS differing bits.
+
+    Segments that more than `hot` fingerprints share are joined on the chain's next step too: the following segment with
+    one bit cleared, 21 or 22 rows a fingerprint; what is as crowded even there is linked by masked keys.
+    """
+    one = 2 * MAX_BITS // len(SEGMENTS)
+
+    def by_seg(of):
+        return F.when(F.col("seg") == 0, of(0)).when(F.col("seg") == 1, of(1)).otherwise(of(2))
+
+    following = lambda v: by_seg(lambda i: _segment(v, (i + 1) % len(SEGMENTS)))
+    keyed = stage(_sized(_segments(fps), ["seg", "val"]), "simhash-segments")
+    pairs = _pairs(keyed.where(F.col("n") <= hot), ["seg", "val"], lambda x: F.bit_count(following(x)) <= one)
+    bits = F.sequence(F.lit(0), by_seg(lambda i: F.lit(SEGMENTS[(i + 1) % len(SEGMENTS)][1] - 1)))
+    chained = keyed.where(F.col("n") > hot).select("seg", "val", "fp", F.explode(bits).alias("bit"))
+    chained = chained.withColumn("then", following(F.col("fp")).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")))))
+    chained = stage(_sized(chained, ["seg", "val", "bit", "then"]), "simhash-chains")
+    pairs = pairs.unionByName(_pairs(chained.where(F.col("n") <= hot), ["seg", "val", "bit", "then"], lambda x: F.lit(True)))
+    return pairs.unionByName(masked_links(chained.where(F.col("n") > hot).select("seg", "val", "fp").distinct())).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, hot: int = HOT_SEGMENT) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, stage
 
 #: Payload bytes of an archive at the mean record size, and at most if all its records had the largest size.
-ARCHIVE_BYTES, ARCHIVE_MOST = 32 << 20, 1 << 30
+ARCHIVE_BYTES, ARCHIVE_MOST = 32 << 20, 256 << 20
 RANGE_ROWS = 20_000
 # Digits in base 32 of Java's number format and of RFC 4648; the profile of an identical payload.
 DIGITS_JAVA, DIGITS_RFC = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -119,7 +119,11 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def read(spark, path: str) -> DataFrame:
-    """The captures of every archive under path, as runs: each archive's rows sorted by URL key, time and page."""
+    """The captures of every archive under path, as runs: each archive's rows sorted by URL key, time and page.
+
+    A record of an empty payload and repeated records are captures like any other; a record without a page id has none; no
+    archives give an empty result; a payload that does not fit its digest is an error.
+    """
 
     def run(batches):
         for b in batches:
@@ -164,19 +168,25 @@ class LoserTree:
 def merge(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Runs merged into capture histories: by (history_range, history_slot) all captures stand in order of URL key, time, page.
 
-    Rows are dealt to key ranges by all three, so a common URL key spreads over ranges of its own.
+    Rows are dealt to key ranges by all three, so a common URL key spreads over ranges of its own. What a range gets of a run
+    comes in the run's order, block by block; every ascending piece is a leaf of the tree, so nothing is sorted again.
+    An empty table gives an empty result; repeated captures each stay.
     """
     parts = max(1, -(-runs.count() // range_rows))
 
     def run(batches):
-        by_run: dict[str, list[tuple]] = {}
+        pieces: list[list[tuple]] = []
+        last = None
         for b in batches:
             b = b.astype(object).where(b.notna(), None)
-            for row in b.itertuples(index=False, name=None):
-                by_run.setdefault(row[-1], []).append(row[:-1])
+            for *row, name in b.itertuples(index=False, name=None):
+                at = (name, _order(row))
+                if last is None or last[0] != name or at[1] < last[1]:
+                    pieces.append([])
+                pieces[-1].append(tuple(row))
+                last = at
         part, rows = TaskContext.get().partitionId(), []
-        sorted_runs = [iter(sorted(x, key=_order)) for _, x in sorted(by_run.items())]  # already in order, unless a block came late
-        for slot, row in enumerate(LoserTree(sorted_runs, _order)):
+        for slot, row in enumerate(LoserTree([iter(p) for p in pieces], _order)):
             rows.append((*row, part, slot))
         if rows:
             yield _frame(rows, [*_NAMES, "history_range", "history_slot"])
@@ -186,7 +196,11 @@ def merge(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write all pages, read the archives back, and return the merged captures, a row for each page."""
+    """Write all pages, read the archives back, and return the merged captures, a row for each page, repeated ones included.
+
+    A null html is an empty payload; nulls in page_id and url stay apart as `write` says; very long payloads are digested
+    whole; an empty table gives an empty result; other columns are not read.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path)

@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 SAMPLES = 32
 #: Samples drawn in one aggregate; more would make code that the JVM does not compile.
 BLOCK = 4
-#: Rows of a doc_id range, within which rows are put in order.
-RANGE_ROWS = 2000
+#: Rows of a range, within which rows (ids and hashes, no texts) are put in order; with more than MAX_RANGES ranges, ranges grow instead.
+RANGE_ROWS, MAX_RANGES = 50_000, 20_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -65,47 +65,53 @@ def likeness(a: Column, b: Column) -> Column:
     return same / samples
 
 
-def _ranges(docs: DataFrame) -> tuple[DataFrame, dict[int, int], list[int]]:
-    """docs with its doc_id range; for each range that has rows the next in descending order; ranges' highest ids."""
-    spark = docs.sparkSession
-    n = docs.count()
-    parts = max(1, min(10_000, -(-n // RANGE_ROWS)))
-    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    at = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    placed = docs.withColumn("rng", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(at, lambda c: c <= F.col("doc_id")))))
-    heads = {r.rng: r.top for r in placed.groupBy("rng").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(heads, reverse=True)
-    return placed, {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}, [t for t in heads.values() if t is not None]
+def _order(own: DataFrame, range_rows: int, max_ranges: int) -> DataFrame:
+    """(rid, next_rid, prev_rid, prev_chars) of rows (rid, doc_id, text): the circle by descending doc_id, nulls last, then by the text's hash, then by rid.
 
-
-def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    Sampled ranges put the rows in order by all three, so rows of one doc_id or of none spread over ranges like any other.
+    What meets on the driver are the ends of at most max_ranges ranges.
+    """
+    spark = own.sparkSession
+    keys = [F.desc_nulls_last("doc_id"), F.desc("hash"), F.asc("rid")]
+    narrow = own.select("rid", "doc_id", F.xxhash64("text").alias("hash"), F.char_length("text").alias("chars"))
+    parts = int(max(1, min(max_ranges, -(-own.count() // range_rows))))
+    dealt = stage(narrow.repartitionByRange(parts, *keys).withColumn("rng", F.spark_partition_id()), "weighted-order")
+    row = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id"), F.bitwise_not("hash"), "rid", "chars")  # ascending in the order of the keys
+    ends = sorted((r.rng, r.a["rid"], r.z["rid"], r.z["chars"]) for r in dealt.groupBy("rng").agg(F.min(row).alias("a"), F.max(row).alias("z")).collect())
+    around = [(rng, ends[(i + 1) % len(ends)][1], *ends[i - 1][2:]) for i, (rng, *_) in enumerate(ends)]
+    outer = spark.createDataFrame(around, "rng int, after long, before long, before_chars int")
+    w = W.partitionBy("rng").orderBy(*keys)
+    linked = dealt.select("rid", "rng", F.lead("rid").over(w).alias("next"), F.lag("rid").over(w).alias("prev"), F.lag("chars").over(w).alias("chars"))
+    linked = linked.join(F.broadcast(outer), "rng")
+    out = stage(linked.select("rid", F.coalesce("next", "after").alias("next_rid"), F.coalesce("prev", "before").alias("prev_rid"), F.coalesce("chars", "before_chars").alias("prev_chars")), "weighted-links")
+    discard(dealt)
+    return out
+
+
+def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, range_rows: int = RANGE_ROWS, max_ranges: int = MAX_RANGES) -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars/3) code points replaced by the first as many of the next document, by
     descending doc_id, the first following the last. A null text counts as empty; null ids come last; rows of one
-    doc_id are ordered by descending text; a single row is its own next. Other columns are not read.
+    doc_id are ordered by descending XXH64 of the text, as a signed number; a single row is its own next; texts are taken
+    whole, however long; an empty table gives an empty result. Other columns are not read. All joins are by the row's number.
     """
-    spark = docs.sparkSession
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed, following, tops = _ranges(own)
-    if not following:
-        placed = placed.limit(0)
-    after = spark.createDataFrame([(a, b) for a, b in following.items()] or [(0, 0)], "own int, rng int")
-    first = placed.where(F.col("doc_id").isin(tops) | F.col("doc_id").isNull()).groupBy("rng").agg(F.max("text").alias("head"))
-    heads = first.join(F.broadcast(after), "rng").select(F.col("own").alias("rng"), "head")
-    down = W.partitionBy("rng").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    rows = placed.withColumns({"slot": F.row_number().over(down), "after": F.lead("text").over(down)}).join(heads, "rng")
-    n, cut = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.coalesce("after", "head"), F.lit(1), cut))
-    rows = rows.select("rng", "slot", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    own = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "weighted-texts")
+    order = _order(own, range_rows, max_ranges)
+    placed = own.join(order, "rid")
+    third = lambda n: F.floor(n / 3).cast("int")
+    heads = placed.select(F.col("prev_rid").alias("rid"), F.substr("text", F.lit(1), third(F.col("prev_chars"))).alias("head"))
+    n = F.char_length("text")
+    edited = F.concat(F.substr("text", F.lit(1), n - third(n)), "head")
+    rows = placed.join(heads, "rid").select("rid", "next_rid", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("sha"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.col("edited").alias("text")))
-    texts = rows.select("rng", "slot", "doc_id", "n_chars", F.inline(both))
-    signed = signatures(texts, ["rng", "slot", "doc_id", "n_chars", "kind", "sha"], samples)
+    keys = ["rid", "next_rid", "doc_id", "n_chars"]
+    signed = signatures(rows.select(*keys, F.inline(both)), [*keys, "kind", "sha"], samples)
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    table = stage(signed.groupBy("rng", "slot", "doc_id", "n_chars").agg(of(0, "sig").alias("fp"), of(1, "sig").alias("efp"), F.lower(F.hex(of(1, "sha"))).alias("sha")), "weighted-fps")
-    heads = table.where("slot = 1").join(F.broadcast(after), "rng").select(F.col("own").alias("rng"), F.col("fp").alias("head"))
-    follow = F.coalesce(F.lead("fp").over(W.partitionBy("rng").orderBy("slot")), "head")
+    table = stage(signed.groupBy(*keys).agg(of(0, "sig").alias("fp"), of(1, "sig").alias("efp"), F.lower(F.hex(of(1, "sha"))).alias("sha")), "weighted-fps")
+    discard(own, order)
+    following = table.select(F.col("rid").alias("next_rid"), F.col("fp").alias("next_fp"))
     return (
-        table.join(heads, "rng").withColumn("next_fp", follow)
+        table.join(following, "next_rid")
         .select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
     )

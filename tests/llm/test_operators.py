@@ -291,11 +291,11 @@ def test_warc(spark, monkeypatch):
 # 5: weighted fingerprints
 
 
-def test_weighted_fingerprints(docs, rows, nothing, monkeypatch):
-    monkeypatch.setattr(weighted, "RANGE_ROWS", 7)
-    out = weighted.edited_fingerprints(docs).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    order = sorted(rows, key=lambda r: r[1] or "", reverse=True)
+@pytest.mark.parametrize("range_rows, max_ranges", [(7, 20_000), (7, 3)])
+def test_weighted_fingerprints(docs, rows, nothing, range_rows, max_ranges):
+    out = weighted.edited_fingerprints(docs, range_rows=range_rows, max_ranges=max_ranges).collect()
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest((t or "").encode(), 42), "big", signed=True)
+    order = sorted(rows, key=lambda r: -signed(r[1]))
     order.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
     want, texts = [], []
     for i, (d, t, *_) in enumerate(order):
