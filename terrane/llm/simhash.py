@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, stage
+from .common import components, discard, forest, stage
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 2
@@ -35,6 +35,8 @@ PAIRED, BLOCK = 32, 512
 COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
 #: Rows of prefixes that a task sends on at once; words of a text hashed at once; shingles compared at once in a block.
 PREFIX_ROWS, PIECE_WORDS, COLUMNS = 1 << 18, 1 << 15, 1 << 13
+#: Longs of the bitmap of a text's shingles; sets of shingles that a task keeps while it checks pairs.
+BITMAP_WORDS, KEPT_SETS = 16, 512
 # Rolling hashes of byte ranges: a number for each byte, an odd base and its inverse modulo 2**64; and what mixes them.
 BYTES = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15
@@ -214,22 +216,61 @@ def set_fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, fp, shingles) of each row: a hash of the word sequence, equal for exact copies, the fingerprint, the shingles."""
+def word_hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, words) of each row: a hash of the word sequence, equal for exact copies."""
 
     def run(batches):
-        powers = Powers()
         for b in batches:
-            for i in range(0, len(b), 500):
-                part, words, fps, sets = b.iloc[i : i + 500], [], [], []
-                for t in part["text"]:
-                    ws = folded(t)
-                    words.append(xxhash.xxh128_hexdigest(ws))
-                    sets.append(shingle_set(ws, powers))
-                    fps.append(set_fingerprint(sets[-1]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "words": words, "fp": np.array(fps, dtype=np.int64), "shingles": sets})
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "words": [xxhash.xxh128_hexdigest(folded(t)) for t in b["text"]]})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words string")
+
+
+def set_bits(shingles: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS longs with a bit for each hash: what sets no bit of another text's cannot be shared with it."""
+    bits = np.zeros(64 * BITMAP_WORDS, dtype=bool)
+    bits[shingles & (64 * BITMAP_WORDS - 1)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Of each text (node, text) a row (node, size, fp, bits), and rows (node, size, val, pos) of its prefix, in one table.
+
+    The prefix is the first floor(size / 5) + 1 of its size shingles, those not common first, then by hash. Texts of
+    similarity 0.8 share at least four fifths of the larger set, so neither prefix can miss all they share.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(common)  # 1 MB at most
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        node, size, val, pos, fp, bits = zip(*out)
+        rows = {"node": np.concatenate(node), "size": np.concatenate(size), "val": np.concatenate(val), "pos": np.concatenate(pos)}
+        fps = np.zeros(len(rows["node"]), dtype=np.int64)
+        sets = np.full(len(fps), None, dtype=object)
+        at = np.cumsum([0, *map(len, node)])[:-1]
+        fps[at] = fp
+        for i, x in zip(at, bits):
+            sets[i] = x
+        return pd.DataFrame(rows | {"fp": fps, "bits": sets})
+
+    def run(batches):
+        (vals, counts), powers = sent.value, Powers()
+        for b in batches:
+            out, rows = [], 0
+            for node, t in zip(b["node"], b["text"]):
+                own = h = shingle_set(folded(t), powers)
+                if len(vals) and len(h):
+                    at = np.minimum(np.searchsorted(vals, h), len(vals) - 1)
+                    h = h[np.argsort(np.where(vals[at] == h, counts[at], 0), kind="stable")]
+                n = min(len(h), len(h) // 5 + 1)
+                out.append((np.full(n + 1, node), np.full(n + 1, len(h), dtype=np.int32), np.append(0, h[:n]), np.arange(-1, n, dtype=np.int32), set_fingerprint(own), set_bits(own)))
+                rows += n
+                if rows > PREFIX_ROWS:
+                    yield frame(out)
+                    out, rows = [], 0
+            if out:
+                yield frame(out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words string, fp long, shingles array<long>")
+    return texts.select("node", "text").mapInPandas(run, "node long, size int, val long, pos int, fp long, bits array<long>")
 
 
 def _pair(x, y, where):
@@ -237,11 +278,38 @@ def _pair(x, y, where):
     return where.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes, each once, those whose texts (node, shingles) are of SIMILARITY or more."""
-    side = lambda node, s: texts.select(F.col("node").alias(node), F.col("shingles").alias(s))
-    both = pairs.distinct().join(side("a", "sa"), "a").join(side("b", "sb"), "b")
-    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+def similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes, each looked at once, those whose texts (node, text) are of SIMILARITY or more.
+
+    marks (node, size, bits) rule out first what their bits show to share too little; then the whole texts decide.
+    """
+    side = lambda k: marks.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}_bits")[i]))) for i in range(BITMAP_WORDS)), F.lit(0))
+    most = F.least(F.col("a_size") - alone("a", "b"), F.col("b_size") - alone("b", "a"))
+    left = stage(both.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select("a", "b"), "simhash-candidates")
+
+    def check(batches):
+        powers, known = Powers(), {}
+
+        def shingles(node: int, text: str | None) -> np.ndarray:
+            if node not in known:
+                if len(known) >= KEPT_SETS:
+                    known.clear()
+                known[node] = shingle_set(folded(text), powers)
+            return known[node]
+
+        for b in batches:
+            ok = []
+            for a, z, s, t in zip(b["a"], b["b"], b["s"], b["t"]):
+                x, y = shingles(a, s), shingles(z, t)
+                ok.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield b.loc[ok, ["a", "b"]]
+
+    named = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    content = texts.join(named, "node", "left_semi")
+    of = lambda k, t: content.select(F.col("node").alias(k), F.col("text").alias(t))
+    return left.join(of("a", "s"), "a").join(of("b", "t"), "b").mapInPandas(check, "a long, b long")
 
 
 def ring_pairs(texts: DataFrame, hot: int = HOT_SEGMENT) -> DataFrame:
@@ -255,38 +323,17 @@ def ring_pairs(texts: DataFrame, hot: int = HOT_SEGMENT) -> DataFrame:
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, ascending, that several texts of a sample have, and how many. Whatever they are, the order they give is right; these keep crowds out of prefixes."""
     chance = min(1.0, COMMON_TEXTS / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**52)) / float(2**52) <= chance)
-    counts = sample.select(F.explode("shingles").alias("val")).groupBy("val").agg(F.count("*").alias("n")).where("n > 1")
-    found = np.array(sorted((r.val, r.n) for r in counts.orderBy(F.desc("n"), "val").limit(COMMON_MOST).collect()), dtype=np.int64).reshape(-1, 2)
-    return found[:, 0].copy(), found[:, 1].copy()
-
-
-def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(val, node, root, size, pos): of each text (node, root, shingles) the first floor(size / 5) + 1 of its size shingles, those not common first, then by hash.
-
-    Texts of similarity 0.8 share at least four fifths of the larger set, so neither prefix can miss all they share.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(common)  # 1 MB at most
-    names = ["val", "node", "root", "size", "pos"]
 
     def run(batches):
-        vals, counts = sent.value
+        powers = Powers()
         for b in batches:
-            out, rows = [], 0
-            for node, root, h in zip(b["node"], b["root"], b["shingles"]):
-                if len(vals) and len(h):
-                    at = np.minimum(np.searchsorted(vals, h), len(vals) - 1)
-                    h = h[np.argsort(np.where(vals[at] == h, counts[at], 0), kind="stable")]
-                n = min(len(h), len(h) // 5 + 1)
-                out.append((h[:n], np.full(n, node), np.full(n, root), np.full(n, len(h), dtype=np.int32), np.arange(n, dtype=np.int32)))
-                rows += n
-                if rows > PREFIX_ROWS:
-                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
-                    out, rows = [], 0
-            if out:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out)))))
+            for t in b["text"]:
+                yield pd.DataFrame({"val": shingle_set(folded(t), powers)})
 
-    return texts.select("node", "root", "shingles").mapInPandas(run, "val long, node long, root long, size int, pos int")
+    sample = texts.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**52)) / float(2**52) <= chance)
+    counts = sample.select("text").mapInPandas(run, "val long").groupBy("val").agg(F.count("*").alias("n")).where("n > 1")
+    found = np.array(sorted((r.val, r.n) for r in counts.orderBy(F.desc("n"), "val").limit(COMMON_MOST).collect()), dtype=np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
 
 
 def _may_be_near(x: str, y: str):
@@ -306,7 +353,7 @@ def _open(shared: DataFrame) -> DataFrame:
 
 def _rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows (node, root, ...) with the roots of their nodes put anew, where they have one."""
-    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select(*[c for c in rows.columns if c != "root"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -315,9 +362,11 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     All pairs of the two blocks meet in one product of matrices: shared shingles are counted over those that several texts have.
     """
     node, root, opened = pdf["node"].to_numpy(), pdf["root"].tolist(), np.flatnonzero(pdf["open"].to_numpy())
-    size = np.array([len(s) for s in pdf["shingles"]])
+    powers = Powers()
+    sets = [shingle_set(folded(t), powers) for t in pdf["text"]]
+    size = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(size)), size)
-    _, at, n = np.unique(np.concatenate(pdf["shingles"].to_numpy()), return_inverse=True, return_counts=True)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = (np.cumsum(n > 1) - 1)[at]
     keep = n[at] > 1
     row, column = row[keep], column[keep]
@@ -360,28 +409,29 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
     left = opened.withColumnRenamed("part", "op").join(parts(members, "mp"), "val").withColumn("open", F.lit(True))
     right = members.withColumnRenamed("part", "mp").join(parts(opened, "op"), "val").withColumn("open", F.lit(False))
     columns = ["val", "op", "mp", "node", "root", "open"]
-    rows = left.select(*columns).unionByName(right.select(*columns)).join(texts.select("node", "shingles"), "node")
+    rows = left.select(*columns).unionByName(right.select(*columns)).join(texts, "node")
     return rows.groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
 
 
-def missed_links(texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all near copies among texts (node, shingles) that lie in different components, given as (node, root) of those of more than one text.
+def missed_links(keyed: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all near copies among texts (node, text) that lie in different components, given as (node, root) of those of more than one text.
 
-    Each shingle of a prefix first links its texts to the least of them. Where they still lie in several components,
-    all pairs across components follow, which sizes and places in the prefix may rule out; shingles of more than
-    `paired` texts get the same by blocks. Whichever way a pair comes, the similarity of its texts decides.
+    keyed (val, node, size, pos) are the prefixes' shingles. Each first links its texts to the least of them. Where they
+    still lie in several components, all pairs across components follow, which sizes and places in the prefix may
+    rule out; shingles of more than `paired` texts get the same by blocks. Whichever way a pair comes, the similarity of
+    its texts decides.
     """
-    keyed = stage(prefixes(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), common_shingles(texts)), "simhash-prefixes")
-    shared = stage(_open(keyed), "simhash-shared")
+    several = keyed.groupBy("val").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("val")
+    shared = stage(_open(_rerooted(keyed.join(several, "val").distinct(), roots)), "simhash-shared")
     stars = shared.alias("y").where(F.col("node") != F.col("first.node")).select("first", F.struct("node", "root", "size", "pos").alias("y"))
-    found = stage(similar(_pair("first.node", "y.node", stars.where(_may_be_near("first", "y"))), texts), "simhash-stars")
+    found = stage(similar(_pair("first.node", "y.node", stars.where(_may_be_near("first", "y"))), marks, texts), "simhash-stars")
 
     now = components(_settled(roots).unionByName(found), "simhash-star-roots")
     left = stage(_open(_rerooted(shared.drop("n", "first"), now)), "simhash-left")
     side = left.where(F.col("n") <= paired)
     x, y = side.alias("x"), side.drop("n", "first").alias("y")
     across = x.join(y, F.col("x.val") == F.col("y.val")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.node") != F.col("x.first.node")) & _may_be_near("x", "y"))
-    more = stage(found.unionByName(similar(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), texts)), "simhash-missed")
+    more = stage(found.unionByName(similar(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), marks, texts)), "simhash-missed")
 
     if not left.where(F.col("n") > paired).limit(1).count():
         return more
@@ -399,16 +449,22 @@ def copies(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFra
 
     Texts of equal words are exact copies; near copies share SIMILARITY of their distinct shingles of VERIFIED_SHINGLE
     words (with fewer words: the whole). Null and blank texts are copies of each other; rows of one doc_id are one
-    document; rows without doc_id are left out; an empty table gives an empty result; other columns are not read.
+    document; rows without doc_id are left out; an empty table gives an empty result; other columns are not read. docs is
+    read several times: stage it first if it is dear to make.
     """
-    own = stage(sketches(docs.select("doc_id", "text").where("doc_id is not null")).withColumn("rid", F.monotonically_increasing_id()), "simhash-sketches")
-    least = own.groupBy("words").agg(F.min(F.struct("doc_id", "rid")).alias("m")).select("words", F.col("m.doc_id").alias("node"), F.col("m.rid").alias("rid"))
-    texts = stage(own.join(least.select("rid"), "rid", "left_semi").select(F.col("doc_id").alias("node"), "fp", "shingles"), "simhash-texts")
-    ring = components(similar(ring_pairs(texts), texts), "simhash-ring")
-    near = _settled(ring).unionByName(missed_links(texts, ring, paired, block))
-    same = own.join(least.select("words", "node"), "words").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    own = stage(word_hashes(docs), "simhash-words")
+    least = stage(own.groupBy("words").agg(F.min("doc_id").alias("node")), "simhash-least")
+    texts = docs.withColumnRenamed("doc_id", "node").join(least.select("node"), "node", "left_semi")
+    told = stage(sketches(texts, common_shingles(texts)), "simhash-sketches")
+    marks, keyed = told.where("pos < 0").select("node", "size", "fp", "bits"), told.where("pos >= 0").select("val", "node", "size", "pos")
+    ring = components(similar(ring_pairs(marks), marks, texts), "simhash-ring")
+    near = _settled(ring).unionByName(missed_links(keyed, marks, texts, ring, paired, block))
+    same = own.join(least, "words").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(near.unionByName(same), "simhash-copies")
-    return own.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+    out = stage(own.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")), "simhash-roots")
+    discard(own, least, told)
+    return out
 
 
 def deduplicated(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
@@ -417,5 +473,5 @@ def deduplicated(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> D
     Null and blank texts are one group; very long texts are compared whole; an empty table stays empty; a column of any
     other name passes through as it is.
     """
-    kept = stage(copies(docs, paired, block).where("doc_id = root").select(F.col("doc_id").alias("kept_id")), "simhash-kept")
+    kept = copies(docs, paired, block).where("doc_id = root").select(F.col("doc_id").alias("kept_id"))
     return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
