@@ -398,12 +398,10 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
     """Links (a, b) that connect all near copies among the texts (val, node, root, n, first) of each shingle.
 
     The texts outside the component of a shingle's first text are held against all of its texts, block by block: a
-    task sees two blocks, and returns a forest. A set of texts that several shingles have is gone through once.
+    task sees two blocks, and returns a forest.
     """
-    sets = crowd.groupBy("val").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("least"))
-    once = sets.groupBy("sum", "n", "least").agg(F.min("val").alias("val")).select("val")
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / block))
-    members = stage(crowd.join(once, "val", "left_semi").withColumn("part", part).withColumn("outside", F.col("root") != F.col("first.root")).select("val", "node", "root", "part", "outside"), "simhash-crowds")
+    members = stage(crowd.withColumn("part", part).withColumn("outside", F.col("root") != F.col("first.root")).select("val", "node", "root", "part", "outside"), "simhash-crowds")
     opened = members.where("outside")
     parts = lambda df, c: df.select("val", F.col("part").alias(c)).distinct()
     left = opened.withColumnRenamed("part", "op").join(parts(members, "mp"), "val").withColumn("open", F.lit(True))
@@ -416,13 +414,17 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
 def missed_links(keyed: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all near copies among texts (node, text) that lie in different components, given as (node, root) of those of more than one text.
 
-    keyed (val, node, size, pos) are the prefixes' shingles. Each first links its texts to the least of them. Where they
-    still lie in several components, all pairs across components follow, which sizes and places in the prefix may
+    keyed (val, node, size, pos) are the prefixes' shingles. Of shingles that the same texts have, the first in the common
+    order stands for all. Each first links its texts to the least of them. Where they still lie in several components, all pairs across components follow, which sizes and places in the prefix may
     rule out; shingles of more than `paired` texts get the same by blocks. Whichever way a pair comes, the similarity of
     its texts decides.
     """
     several = keyed.groupBy("val").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("val")
-    shared = stage(_open(_rerooted(keyed.join(several, "val").distinct(), roots)), "simhash-shared")
+    rows = stage(keyed.join(several, "val").distinct(), "simhash-several")
+    sets = rows.groupBy("val").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("set"), F.min(F.struct("node", "pos")).alias("first"))
+    once = sets.groupBy("n", "set", "first.node").agg(F.min_by("val", "first.pos").alias("val")).select("val")
+    shared = stage(_open(_rerooted(rows.join(once, "val", "left_semi"), roots)), "simhash-shared")
+    discard(rows)
     stars = shared.alias("y").where(F.col("node") != F.col("first.node")).select("first", F.struct("node", "root", "size", "pos").alias("y"))
     found = stage(similar(_pair("first.node", "y.node", stars.where(_may_be_near("first", "y"))), marks, texts), "simhash-stars")
 
@@ -457,13 +459,14 @@ def copies(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFra
     least = stage(own.groupBy("words").agg(F.min("doc_id").alias("node")), "simhash-least")
     texts = docs.withColumnRenamed("doc_id", "node").join(least.select("node"), "node", "left_semi")
     told = stage(sketches(texts, common_shingles(texts)), "simhash-sketches")
-    marks, keyed = told.where("pos < 0").select("node", "size", "fp", "bits"), told.where("pos >= 0").select("val", "node", "size", "pos")
+    marks = stage(told.where("pos < 0").select("node", "size", "fp", "bits"), "simhash-marks")
+    keyed = told.where("pos >= 0").select("val", "node", "size", "pos")
     ring = components(similar(ring_pairs(marks), marks, texts), "simhash-ring")
     near = _settled(ring).unionByName(missed_links(keyed, marks, texts, ring, paired, block))
     same = own.join(least, "words").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(near.unionByName(same), "simhash-copies")
     out = stage(own.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")), "simhash-roots")
-    discard(own, least, told)
+    discard(own, least, told, marks)
     return out
 
 
