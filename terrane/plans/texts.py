@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from .registry import query, read
 
 
-@query(r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)', ' ', 'g'), '[^0-9A-Za-z]+', ' ', 'g'), ' +', ' ', 'g')),1,200) AS norm FROM documents")
+@query(r"SELECT doc_id, md5(norm) AS norm_key, length(norm) AS norm_chars FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)', ' ', 'g'), '[^0-9A-Za-z]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents)")
 def normalize_text_key(spark, d):
-    """Parenthesised parts dropped, runs of other characters as one blank."""
+    """A key of the whole text, parenthesised parts dropped, runs of other characters as one blank."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\([^)]*\)", " "), "[^0-9A-Za-z]+", " "), " +", " ")
-    return read(spark, d, "documents").select("doc_id", F.substring(F.trim(t), 1, 200).alias("norm"))
+    return read(spark, d, "documents").select("doc_id", F.md5(F.trim(t)).alias("norm_key"), F.char_length(F.trim(t)).cast("long").alias("norm_chars"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)', ' ', 'g'), '[^0-9A-Za-z]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM documents")
 def normalized_text(spark, d):
-    """The whole text so normalised; normalize_text_key is its first 200 characters, as its SQL says."""
+    """The whole text so normalised; normalize_text_key is its digest."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\([^)]*\)", " "), "[^0-9A-Za-z]+", " "), " +", " ")
     return read(spark, d, "documents").select("doc_id", F.trim(t).alias("norm"))
 

@@ -50,9 +50,9 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.staged_path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header, a byte order mark allowed; empty fields are null; every column a string without a schema."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "")
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, a byte order mark allowed; empty fields are null; every column a string without a schema. Line breaks within fields want multi_line, and then a file cannot be split."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("nullValue", "")
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
