@@ -71,3 +71,8 @@ def area_km2(polygon: Column) -> Column:
 
     holes = F.slice(polygon, 2, F.greatest(F.size(polygon) - 1, F.lit(0)))
     return F.greatest(F.lit(0.0), ring_area(F.element_at(polygon, 1)) - F.aggregate(holes, F.lit(0.0), lambda s, r: s + ring_area(r)))
+
+
+def flat(lat: Column, lon: Column, mid_lat: float, mid_lon: float, scale: float) -> tuple[Column, Column]:
+    """Flat map coordinates around a middle: east to the right, south downwards."""
+    return (lon - mid_lon) * F.cos(F.radians(F.lit(mid_lat))) * scale, (F.lit(mid_lat) - lat) * scale

@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 
 def robust_scale(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """columns less their median, by their interquartile range (1 where that is 0), within groups; exact quantiles."""
@@ -107,3 +110,57 @@ def ward_groups(df: DataFrame, key: str, by: str, columns: list[str], k: int) ->
         return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": [order[c] for c in labels.tolist()]})
 
     return df.select(by, key, *columns).groupBy(by).applyInPandas(fit, f"{by} long, {key} long, cluster long")
+
+
+def profiles(df: DataFrame, key: str, cluster: str, columns: list[str]) -> DataFrame:
+    """(cluster, members, median of each column, medoid): the medoid is the member of least summed distance to the others, ties to the least key.
+
+    One column: distances are sums over the members below and above in order, n log n. More: a cluster has to fit a task.
+    """
+    medians = df.groupBy(cluster).agg(F.count("*").alias("members"), *[F.percentile(c, 0.5).alias(f"{c}_median") for c in columns])
+    if len(columns) == 1:
+        x, w = F.col(columns[0]).cast("double"), W.partitionBy(cluster).orderBy(F.col(columns[0]).cast("double"), key)
+        upto, n, total = F.sum(x).over(w.rowsBetween(W.unboundedPreceding, 0)), F.count("*").over(W.partitionBy(cluster)), F.sum(x).over(W.partitionBy(cluster))
+        i = F.row_number().over(w)
+        sums = df.select(cluster, key, (x * (2 * i - n) - 2 * upto + total).alias("sum"))
+        medoid = sums.groupBy(cluster).agg(F.min_by(key, F.struct(F.round("sum", 6), key)).alias("medoid"))
+    else:
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(key)
+            v = pdf[columns].to_numpy(dtype=float)
+            sums = np.array([np.sqrt(((v - row) ** 2).sum(1)).sum() for row in v])
+            return pd.DataFrame({cluster: pdf[cluster].iloc[:1], "medoid": pdf[key].iloc[[int(np.argmin(sums.round(9)))]].to_numpy()})
+
+        types = dict(df.dtypes)
+        medoid = df.select(cluster, key, *columns).groupBy(cluster).applyInPandas(fit, f"{cluster} {types[cluster]}, medoid {types[key]}")
+    return medians.join(medoid, cluster)
+
+
+def names(told: DataFrame, cluster: str, hub: str, remote: str, aged: str) -> DataFrame:
+    """told with a name: of all the highest in hub, of the rest the highest in remote, of the rest the highest in aged, then by number; ties to the least cluster."""
+    out = told.withColumn("name", F.lit(None).cast("string"))
+    for column, name in ((hub, "hub"), (remote, "remote"), (aged, "aged")):
+        first = out.where("name is null").agg(F.max_by(cluster, F.struct(column, -F.col(cluster))).alias("_first"))
+        out = out.join(F.broadcast(first), F.col(cluster) == F.col("_first"), "left").withColumn("name", F.coalesce("name", F.when(F.col("_first").isNotNull(), name))).drop("_first")
+    return out.withColumn("name", F.coalesce("name", F.concat(F.lit("mixed-"), F.col(cluster).cast("string"))))
+
+
+def stability_summary(rounds: DataFrame) -> DataFrame:
+    """(rounds, median, p10) of the agreement of each round."""
+    return rounds.agg(F.count("*").alias("rounds"), F.percentile("ari", 0.5).alias("median"), F.percentile("ari", 0.1).alias("p10"))
+
+
+def sensitivity(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
+    """(ari, least_jaccard): agreement of Ward clusters of the columns with those of their logarithms. All rows have to fit a task."""
+    one = df.select(F.lit(0).cast("long").alias("g"), F.col(key).cast("long").alias(key), *columns)
+    logs = one.select("g", key, *[(F.signum(c) * F.log1p(F.abs(c))).alias(c) for c in columns])
+    a = ward_groups(one, key, "g", columns, k).select(key, F.col("cluster").alias("a"))
+    b = ward_groups(logs, key, "g", columns, k).select(key, F.col("cluster").alias("b"))
+    both = staged(a.join(b, key), "sensitivity")
+    return adjusted_rand(both, "a", "b").join(best_jaccard(both, "a", "b").agg(F.min("jaccard").alias("least_jaccard")).withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).select("ari", "least_jaccard")
+
+
+def select_model(candidates: DataFrame) -> DataFrame:
+    """Of candidates (k, silhouette, gates) that pass all gates the one of highest silhouette, then fewest clusters; a null k if none passes."""
+    return candidates.where(F.forall("gates", lambda g: g)).agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k"), F.count("*").alias("passing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.tables import discard, staged
@@ -131,3 +131,70 @@ def transpose(edges: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame) -> DataFrame:
     """(src, out): each node's sorted neighbours with weights."""
     return edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("out"))
+
+
+# Roads that may be driven, and values of a tag that forbid, force or reverse.
+DRIVABLE = ("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service", "road")
+ACCESS_KEYS, BLOCKED = ("access", "vehicle", "motor_vehicle"), ("no", "private")
+ONEWAY, REVERSED, BOTH_WAYS = ("yes", "true", "1"), ("-1", "reverse"), ("no", "false", "0")
+
+
+def drivable(tags: str) -> Column:
+    """Whether a way's tags, a map, name a road for cars and nothing shuts them out."""
+    shut = reduce(Column.__or__, (F.coalesce(F.try_element_at(tags, F.lit(k)).isin(*BLOCKED), F.lit(False)) for k in ACCESS_KEYS))
+    return F.try_element_at(tags, F.lit("highway")).isin(*DRIVABLE) & ~shut
+
+
+def directions(tags: str) -> list[Column]:
+    """forward and backward: the directions in which a way may be driven, by its one-way tag or else by its kind."""
+    tag = lambda k: F.try_element_at(tags, F.lit(k))
+    way = F.lower(F.coalesce(F.nullif(tag("oneway:motor_vehicle"), F.lit("")), tag("oneway"), F.lit("")))
+    round_ = F.coalesce((tag("junction") == "roundabout"), F.lit(False)) | F.coalesce(tag("highway").isin("motorway", "motorway_link"), F.lit(False))
+    forward = ~way.isin(*REVERSED)
+    backward = F.when(way.isin(*ONEWAY), False).when(way.isin(*REVERSED, *BOTH_WAYS), True).otherwise(~round_)
+    return [forward.alias("forward"), backward.alias("backward")]
+
+
+def paths(edges: DataFrame, best: DataFrame) -> DataFrame:
+    """(node, way, dist): the nodes of a shortest path to each node of best (node, dist, origin), as an array from its origin.
+
+    Of the neighbours that a shortest path can come from, the least is taken. Paths grow by one leg a round.
+    """
+    known = best.select("node", "dist", "origin")
+    come = known.select(F.col("node").alias("src"), F.col("dist").alias("d0"), F.col("origin").alias("o0"))
+    legs = edges.join(come, "src").join(known, (F.col("dst") == F.col("node")) & (F.col("d0") + F.col("weight") == F.col("dist")) & (F.col("o0") == F.col("origin")) & (F.col("node") != F.col("origin")))
+    parents = staged(legs.groupBy("node").agg(F.min("src").alias("parent")), "paths-parents")
+    front = staged(known.where("node = origin").select("node", F.array("node").alias("way")), "paths")
+    out = [front]
+    while True:
+        seen = Observation()
+        step = parents.join(front.withColumnRenamed("node", "parent"), "parent").select("node", F.concat("way", F.array("node")).alias("way"))
+        front = staged(step.observe(seen, F.count("*").alias("n")), "paths")
+        if not seen.get["n"]:
+            return reduce(DataFrame.unionByName, out).join(known.select("node", "dist"), "node")
+        out.append(front)
+
+
+def matrix(edges: DataFrame, sites: DataFrame, most: float) -> DataFrame:
+    """(zone, origin, dest, cost): the cost, up to most, from each site to each of its zone; null where there is no such way.
+
+    All sites are searched at once: a state is a node and the site it was reached from.
+    """
+    best = F.min("dist").alias("dist")
+    reached = staged(sites.select(F.col("site").alias("origin"), F.col("site").alias("node"), F.lit(0.0).alias("dist")).distinct(), "matrix")
+    front, layers = reached, [reached]
+    while True:
+        tried = front.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist")).where(F.col("dist") <= most)
+        known = reduce(DataFrame.unionByName, layers).groupBy("origin", "node").agg(best)
+        seen = Observation()
+        better = tried.groupBy("origin", "node").agg(best).join(known.withColumnRenamed("dist", "old"), ["origin", "node"], "left").where("old is null or dist < old").drop("old")
+        front = staged(better.observe(seen, F.count("*").alias("n")), "matrix")
+        if not seen.get["n"]:
+            break
+        layers.append(front)
+        if len(layers) >= MERGE:
+            merged = staged(reduce(DataFrame.unionByName, layers).groupBy("origin", "node").agg(best), "matrix")
+            discard(*layers[:-1])
+            layers = [merged]
+    pairs = sites.select("zone", F.col("site").alias("origin")).join(sites.select("zone", F.col("site").alias("dest")), "zone")
+    return pairs.join(known.select("origin", F.col("node").alias("dest"), F.col("dist").alias("cost")), ["origin", "dest"], "left").select("zone", "origin", "dest", "cost")

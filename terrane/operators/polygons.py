@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_polygon
+from ..functions.geo import in_polygon, shoelace
 
 
 def bounds(geometry: str = "geometry"):
@@ -101,3 +101,19 @@ def interior_points(polygons: DataFrame) -> DataFrame:
             yield pd.DataFrame({"poly": b["poly"], "lon": [g[0] for g in got], "lat": [g[1] for g in got], "method": [g[2] for g in got]})
 
     return polygons.select("poly", "rings").mapInPandas(run, "poly long, lon double, lat double, method string")
+
+
+def largest_part(geometry):
+    """Of a multipolygon the polygon whose outer ring has the largest area, the first on ties."""
+    sized = F.transform(geometry, lambda g, i: F.struct(F.abs(shoelace(F.element_at(g, 1))["area"]).alias("area"), (-i).alias("i"), g.alias("g")))
+    return F.array_max(F.transform(sized, lambda s: F.struct(F.round(s["area"], 12).alias("area"), s["i"].alias("i"), s["g"].alias("g"))))["g"]
+
+
+def simplify_ring(ring: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """A closed ring simplified in two halves, from its first vertex to the one farthest from it and back; under four vertices are left: the ring as it is."""
+    open_ = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+    if len(open_) < 4:
+        return ring
+    far = max(range(len(open_)), key=lambda i: math.dist(open_[0], open_[i]))
+    out = simplify(open_[: far + 1], tolerance)[:-1] + simplify([*open_[far:], open_[0]], tolerance)
+    return out if len(out) >= 4 else ring

@@ -24,6 +24,3 @@ def query(sql: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from . import access, coverage, graphs, integrity, routes, texts, typology  # noqa: E402, F401  they register their queries

@@ -10,12 +10,16 @@ import duckdb
 import numpy as np
 import pytest
 
-from terrane.functions import geo
-from terrane.operators import clustering, polygons, routing
+from pyspark.sql import functions as F
+
+from terrane.functions import geo, numbers
+from terrane.operators import clustering, graph, polygons, ranking, routing, spatial
 from terrane.plans import graphs, registry, routes
+from terrane.sources import tables
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["radius_counts", "outside_bbox", "knn_in_key", "depot_select", "point_in_polygon", "lookup_join_total", "keyset_equality", "ledger_override", "reason_tags", "coverage_pivot", "keyword_multilabel", "gap_means", "upper_median", "status_case", "round_robin_schedule", "adjacency_lists", "integrity_checks", "normalize_text_key", "variant_fallback_lookup", "scaled_balances", "label_agreement"]
+QUICK = ["radius_counts", "outside_bbox", "knn_in_key", "depot_select", "point_in_polygon", "lookup_join_total", "keyset_equality", "ledger_override", "reason_tags", "coverage_pivot", "keyword_multilabel", "gap_means", "upper_median", "status_case", "round_robin_schedule", "adjacency_lists", "integrity_checks", "normalize_text_key", "variant_fallback_lookup", "scaled_balances", "label_agreement", "quality_split"]
+QUICK += ["addresses_normalised", "institutions_dropped", "html_unescaped", "html_rows", "rounded_half_even", "component_sums", "parsed_and_defaulted", "wide_sum", "pattern_flags", "way_directions", "joint_cities", "tier_table", "typology_status", "zone_slice", "parameter_checks", "visit_status", "scenario_overlay", "geocode_reviews", "brand_and_group", "first_rows", "manifest_dates", "lookup_cache", "zone_tier_counts", "stop_targets", "lookup_asserted", "stitched_paths", "snap_to_node", "path_reconstruct", "sequential_ids", "even_sample", "route_fold", "cluster_profiles", "cluster_names", "gate_select", "polygon_layers", "outer_rings", "province_rollup", "cycle_schedule", "recompute_equals", "measurement_contract"]
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +143,118 @@ def test_normalized_text_is_whole(spark, oracle):
     want = dict(oracle.sql(registry.ORACLE_SQL["normalized_text"]).fetchall())
     got = {r.doc_id: r.norm for r in registry.QUERIES["normalized_text"](spark, DATA).collect()}
     assert got == want and max(map(len, got.values())) > 200
+
+
+def test_rounding_equals_python(spark):
+    rng = random.Random(5)
+    xs = [2.675, 0.125, 0.375, 1.005, -2.5, 5.12345, 0.0] + [rng.uniform(-1e6, 1e6) for _ in range(400)] + [rng.randint(-10**6, 10**6) / 8 for _ in range(200)] + [rng.randint(0, 10**7) / 1e5 for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for n in (0, 1, 2, 4):
+        assert [r[0] for r in df.select(numbers.round_half_even(F.col("x"), n)).collect()] == [round(x, n) + 0.0 for x in xs]
+
+
+def brute_fleets(z, vehicles):
+    """Every choice of disjoint sets, by vehicle."""
+    single = routing.routes(z)
+
+    def grow(mask, plan):
+        yield mask, plan
+        if len(plan) < vehicles:
+            for more, route in single.items():
+                if more and not mask & more:
+                    yield from grow(mask | more, (*plan, route))
+
+    return min(grow(0, ()), key=lambda p: routing.plan_key(z, *p))
+
+
+def test_fleets_equal_exhaustive_search():
+    rng = random.Random(6)
+    for _ in range(12):
+        z = zone(rng, 5, 3)
+        best, want = routing.fleets(z, 2)[-1], brute_fleets(z, 2)
+        assert routing.plan_key(z, *best) == routing.plan_key(z, *want)
+
+
+def test_nearest_and_radius_anywhere_on_the_sphere(spark):
+    rng = random.Random(7)
+    place = lambda i: (i, rng.choice([70.0, -89.9, 89.0, 0.0, 35.0]) + rng.random() / 10, (rng.choice([179.95, -180.0, 0.0, 127.0]) + rng.random() / 20 + 180) % 360 - 180)
+    left, right = [place(i) for i in range(120)], [place(1000 + i) for i in range(120)] + [(5000, -33.0, 18.0)]
+
+    def km(a, b):
+        p, q, dl = np.radians(a[1]), np.radians(b[1]), np.radians(b[2] - a[2])
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(dl / 2) ** 2
+        return float(2 * 6371.0088 * np.arcsin(np.sqrt(min(1.0, h))))
+
+    a, b = spark.createDataFrame(left, "id long, lat double, lon double"), spark.createDataFrame(right, "pid long, plat double, plon double")
+    got = {(r.id, r.pid) for r in spatial.radius_join(a, b, 5.0).collect()}
+    assert got == {(x[0], y[0]) for x in left for y in right if km(x, y) <= 5.0} and len(got) > 50
+    near = {r.id: r.dist for r in spatial.nearest(a, b.where("pid = 5000")).collect()}
+    assert near.keys() == {x[0] for x in left} and all(abs(near[x[0]] - km(x, right[-1])) < 1e-5 for x in left)
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {x: find(x) for a, b in pairs if a != b for x in (a, b)}
+    assert {r.node: r.root for r in graph.components(edges).collect()} == want
+    assert graph.components(edges.where("false")).count() == 0
+
+
+def test_numbers_and_quantiles_over_ranges(spark):
+    rows = [(i * 7919 % 1000 / 3, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "x double, id long")
+    got = [r.id for r in ranking.numbered(df, F.col("x"), F.col("id")).orderBy("nth").collect()]
+    assert got == [i for _, i in sorted(rows)]
+    assert spark.range(1).select(ranking.exact_quantile(df, "x", 0.37)).first()[0] == pytest.approx(np.quantile([x for x, _ in rows], 0.37))
+
+
+def test_readers_and_writers(spark, tmp_path):
+    write = lambda name, data: (tmp_path / name).write_bytes(data)
+    write("a.csv", "\ufeffk,65세,66세,n\nx,\"1,200\",,é\ny,3,4,\n".encode())
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("x", "1,200", None, "é"), ("y", "3", "4", None)]
+    assert {r.k: r.total for r in tables.read_wide_csv(spark, str(tmp_path / "a.csv"), "k", "total", ("65세", "66세")).collect()} == {"x": 1200.0, "y": 7.0}
+    write("b.csv", b"k,65\nx,1\nx,2\n")
+    with pytest.raises(Exception, match="repeated key x"):
+        tables.read_wide_csv(spark, str(tmp_path / "b.csv"), "k", "total", ("65",)).collect()
+    write("c.txt", "전주".encode("cp949"))
+    assert tables.read_text(spark, str(tmp_path / "c.txt")).first().text == "전주"
+    write("g.json", b'{"features": [{"properties": {"sido": "52"}, "geometry": {"type": "Point"}}]}')
+    assert tables.read_features(spark, str(tmp_path / "g.json")).first().properties.sido == "52"
+    (tmp_path / "pages").mkdir()
+    write("pages/1.json", b'{"body": {"totalCount": 3, "items": [{"a": 1}, {"a": 2}]}}')
+    write("pages/2.json", b'{"response": {"body": {"totalCount": 3, "items": {"item": {"a": 3}}}}}')
+    assert sorted(r.row["a"] for r in tables.read_pages(spark, str(tmp_path / "pages")).collect()) == ["1", "2", "3"]
+    with pytest.raises(ValueError):
+        tables.read_pages(spark, str(tmp_path / "pages"), max_pages=1)
+    write("pages/2.json", b'{"body": {"totalCount": 3, "items": []}}')
+    with pytest.raises(ValueError):
+        tables.read_pages(spark, str(tmp_path / "pages"))
+    found = tables.hashes(spark, str(tmp_path / "b.csv")).withColumn("name", F.lit("b"))
+    listed = found.select("name", "bytes", "sha256").unionByName(spark.createDataFrame([("z", 1, "h")], "name string, bytes long, sha256 string"))
+    assert {r.name: r.status for r in tables.lineage(found, listed).collect()} == {"b": "ok", "z": "missing"}
+    df = spark.createDataFrame([(1, "x"), (2, None)], "n long, t string")
+    tables.write_csv(df, str(tmp_path / "out"), ["t", "n"])
+    assert {tuple(r) for r in tables.read_csv(spark, str(tmp_path / "out")).collect()} == {("x", "1"), (None, "2")}
+    tables.write_json(df, str(tmp_path / "json"))
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "json")).select("n", "t").collect()} == {(1, "x"), (2, None)}
+    assert tables.markdown(df) == "| n | t |\n| --- | --- |\n| 1 | x |\n| 2 |  |"
+    report = "# T\n\n## 5\nold\n## 6\nsix\n## 7\nend\n"
+    once = tables.spliced(report, "## 6", "new")
+    assert once == tables.spliced(once, "## 6", "new") and "six" not in once and once.index("new") < once.index("## 7") and "old" in once
+
+
+def test_rings_stay_rings():
+    ring = [(0.0, 0.0), (1.0, 0.001), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    assert polygons.simplify_ring(ring, 0.1) == [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)] or len(polygons.simplify_ring(ring, 0.1)) >= 4
+    assert polygons.simplify_ring(ring[:3], 5.0) == ring[:3]
