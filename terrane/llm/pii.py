@@ -228,7 +228,11 @@ def redact(text: str, found: list[list[tuple[int, int]]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. Null and empty texts have no spans."""
+    """For each row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+
+    Null and empty texts have no spans; texts are read whole, however long; where spans of several kinds overlap each stays;
+    repeated rows each give a row; an empty table gives an empty result; other columns are not read.
+    """
 
     def run(batches):
         anchors = automaton()
@@ -245,7 +249,11 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with the same columns and rows, spans in text replaced by their kinds, and n_chars, where docs has it, anew."""
+    """docs with the same columns and rows, spans in text replaced by their kinds, and n_chars, where docs has it, anew.
+
+    Null and empty texts stay as they are; overlapping spans become one; repeated rows stay repeated; texts are read
+    whole, however long; an empty table stays empty; columns of any other name pass through.
+    """
     chars = "n_chars" in docs.columns
 
     def run(batches):

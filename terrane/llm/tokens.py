@@ -47,7 +47,9 @@ def section_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = P
 
     Sections cover the text, in code points, each with the line break that ends it. n_tokens adds up to doc_tokens.
     rule `first` gives a crossing token to the section of its first byte, `last` to that of its last; n_crossing
-    counts tokens that begin in a section and end in a later one. Null and empty texts have one empty section.
+    counts tokens that begin in a section and end in a later one. Null and empty texts have one empty section;
+    repeated rows each give theirs; texts are encoded whole, however long; an empty table gives an empty result; other
+    columns are not read.
     """
     if rule not in ("first", "last"):
         raise ValueError(rule)

@@ -607,3 +607,31 @@ def test_ranges_of_repeated_rows_are_cut(spark):
     rows = sharding.stage(spark.range(4000).select(F.lit(7 << 31).alias("crc"), F.lit(5).alias("size"), F.col("id").alias("rid")), "test").withColumn("key", F.col("crc") + F.pmod(F.xxhash64("rid"), F.lit(2048)))
     bounds, sums = sharding._splitters(rows, 4000, 20_000, 100, 8)
     assert sum(n for _, n, _ in sums) == 4000 and max(n for _, n, _ in sums) <= 1000 and len(sums) == len(bounds) + 1
+
+
+# the pipeline, and executors without the package
+
+
+def test_broadcasts_need_no_package(spark, tmp_path):
+    import subprocess
+    import sys
+
+    for value, ask in ((langid.Network(["a", "b"]), "len(x.langs) == 2"), (decontaminate.Index([(1, "a b c d e f g")]), "x.hits('a b c d e f g')[0][0] == 1")):
+        (tmp_path / "sent").write_bytes(common.sent(spark, value).value)
+        code = f"import pickle; x = pickle.load(open('sent', 'rb')); assert {ask}; import importlib.util as u; assert u.find_spec('terrane') is None"
+        assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True).stderr == ""
+
+
+def test_pipeline_stages_hand_on_documents(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    least = brute_copies([r for r in rows if any(c.isalpha() for c in r[1] or "")])
+    dirty = brute_contaminations(rows, [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    out = corpus_pipeline.run(spark, sf).collect()
+    kept = {r.doc_id for r in out}
+    assert kept <= {d for d in least if least[d] == d} - {d for d, _ in dirty} and len(kept) > 0.8 * len(set(least.values()) - {d for d, _ in dirty})
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "personal_data", "packing"]
+    assert corpus_pipeline.STAGES[0][1](spark, docs, sf).columns == docs.columns
