@@ -66,7 +66,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _order(own: DataFrame, range_rows: int, max_ranges: int) -> DataFrame:
-    """(rid, next_rid, prev_rid, prev_chars) of rows (rid, doc_id, text): the circle by descending doc_id, nulls last, then by the text's hash, then by rid.
+    """(rid, doc_id, next_rid, prev_rid, prev_chars) of rows (rid, doc_id, text): the circle by descending doc_id, nulls last, then by the text's hash, then by rid.
 
     Sampled ranges put the rows in order by all three, so rows of one doc_id or of none spread over ranges like any other.
     What meets on the driver are the ends of at most max_ranges ranges.
@@ -81,9 +81,9 @@ def _order(own: DataFrame, range_rows: int, max_ranges: int) -> DataFrame:
     around = [(rng, ends[(i + 1) % len(ends)][1], *ends[i - 1][2:]) for i, (rng, *_) in enumerate(ends)]
     outer = spark.createDataFrame(around, "rng int, after long, before long, before_chars int")
     w = W.partitionBy("rng").orderBy(*keys)
-    linked = dealt.select("rid", "rng", F.lead("rid").over(w).alias("next"), F.lag("rid").over(w).alias("prev"), F.lag("chars").over(w).alias("chars"))
+    linked = dealt.select("rid", "doc_id", "rng", F.lead("rid").over(w).alias("next"), F.lag("rid").over(w).alias("prev"), F.lag("chars").over(w).alias("chars"))
     linked = linked.join(F.broadcast(outer), "rng")
-    out = stage(linked.select("rid", F.coalesce("next", "after").alias("next_rid"), F.coalesce("prev", "before").alias("prev_rid"), F.coalesce("chars", "before_chars").alias("prev_chars")), "weighted-links")
+    out = stage(linked.select("rid", "doc_id", F.coalesce("next", "after").alias("next_rid"), F.coalesce("prev", "before").alias("prev_rid"), F.coalesce("chars", "before_chars").alias("prev_chars")), "weighted-links")
     discard(dealt)
     return out
 
@@ -98,7 +98,7 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, range_rows: int
     """
     own = stage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "weighted-texts")
     order = _order(own, range_rows, max_ranges)
-    placed = own.join(order, "rid")
+    placed = own.select("rid", "text").join(order, "rid")  # texts are shuffled once, for both uses
     third = lambda n: F.floor(n / 3).cast("int")
     heads = placed.select(F.col("prev_rid").alias("rid"), F.substr("text", F.lit(1), third(F.col("prev_chars"))).alias("head"))
     n = F.char_length("text")
