@@ -32,7 +32,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
