@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, forest, stage
+from .common import components, discard, forest, release, stage
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 2
@@ -184,6 +184,13 @@ def folded(text: str | None) -> bytes:
     return out.strip(b" ")
 
 
+def freed(df: DataFrame, label: str) -> DataFrame:
+    """df staged, and the shuffle files that went into it released."""
+    out = stage(df, label)
+    release(df.sparkSession)
+    return out
+
+
 def shingle_set(words: bytes, powers: Powers) -> np.ndarray:
     """Ascending distinct hashes, as signed longs, of the shingles of VERIFIED_SHINGLE words of a folded text; fewer words: the whole; none: none."""
     if not words:
@@ -287,7 +294,7 @@ def similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}_bits")[i]))) for i in range(BITMAP_WORDS)), F.lit(0))
     most = F.least(F.col("a_size") - alone("a", "b"), F.col("b_size") - alone("b", "a"))
-    left = stage(both.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select("a", "b"), "simhash-candidates")
+    left = freed(both.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select("a", "b"), "simhash-candidates")
 
     def check(batches):
         powers, known = Powers(), {}
@@ -401,7 +408,7 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
     task sees two blocks, and returns a forest.
     """
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / block))
-    members = stage(crowd.withColumn("part", part).withColumn("outside", F.col("root") != F.col("first.root")).select("val", "node", "root", "part", "outside"), "simhash-crowds")
+    members = freed(crowd.withColumn("part", part).withColumn("outside", F.col("root") != F.col("first.root")).select("val", "node", "root", "part", "outside"), "simhash-crowds")
     opened = members.where("outside")
     parts = lambda df, c: df.select("val", F.col("part").alias(c)).distinct()
     left = opened.withColumnRenamed("part", "op").join(parts(members, "mp"), "val").withColumn("open", F.lit(True))
@@ -411,37 +418,41 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
     return rows.groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
 
 
-def missed_links(keyed: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+def missed_links(rows: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all near copies among texts (node, text) that lie in different components, given as (node, root) of those of more than one text.
 
-    keyed (val, node, size, pos) are the prefixes' shingles. Of shingles that the same texts have, the first in the common
+    rows (val, node, size, pos) are the prefixes' shingles that several texts have. Of shingles that the same texts have, the first in the common
     order stands for all. Each first links its texts to the least of them. Where they still lie in several components, all pairs across components follow, which sizes and places in the prefix may
     rule out; shingles of more than `paired` texts get the same by blocks. Whichever way a pair comes, the similarity of
     its texts decides.
     """
-    several = keyed.groupBy("val").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("val")
-    rows = stage(keyed.join(several, "val").distinct(), "simhash-several")
     sets = rows.groupBy("val").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("set"), F.min(F.struct("node", "pos")).alias("first"))
     once = sets.groupBy("n", "set", "first.node").agg(F.min_by("val", "first.pos").alias("val")).select("val")
-    shared = stage(_open(_rerooted(rows.join(once, "val", "left_semi"), roots)), "simhash-shared")
+    shared = freed(_open(_rerooted(rows.join(once, "val", "left_semi"), roots)), "simhash-shared")
     discard(rows)
     stars = shared.alias("y").where(F.col("node") != F.col("first.node")).select("first", F.struct("node", "root", "size", "pos").alias("y"))
-    found = stage(similar(_pair("first.node", "y.node", stars.where(_may_be_near("first", "y"))), marks, texts), "simhash-stars")
+    found = freed(similar(_pair("first.node", "y.node", stars.where(_may_be_near("first", "y"))), marks, texts), "simhash-stars")
 
     now = components(_settled(roots).unionByName(found), "simhash-star-roots")
-    left = stage(_open(_rerooted(shared.drop("n", "first"), now)), "simhash-left")
+    left = freed(_open(_rerooted(shared.drop("n", "first"), now)), "simhash-left")
     side = left.where(F.col("n") <= paired)
     x, y = side.alias("x"), side.drop("n", "first").alias("y")
     across = x.join(y, F.col("x.val") == F.col("y.val")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.node") != F.col("x.first.node")) & _may_be_near("x", "y"))
-    more = stage(found.unionByName(similar(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), marks, texts)), "simhash-missed")
+    more = freed(found.unionByName(similar(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), marks, texts)), "simhash-missed")
 
     if not left.where(F.col("n") > paired).limit(1).count():
         return more
     now = components(_settled(now).unionByName(more), "simhash-missed-roots")
-    crowd = stage(_open(_rerooted(left.where(F.col("n") > paired).drop("n", "first"), now)), "simhash-crowd")
+    crowd = freed(_open(_rerooted(left.where(F.col("n") > paired).drop("n", "first"), now)), "simhash-crowd")
     return more.unionByName(forest(crowd_links(crowd, texts, block)))
 
 
+def several_texts(keyed: DataFrame) -> DataFrame:
+    """Of the prefixes' shingles (val, node, size, pos), the distinct rows of those that come more than once."""
+    several = keyed.groupBy("val").agg(F.count("*").alias("n")).where("n > 1").select("val")
+    return freed(keyed.join(several, "val").distinct(), "simhash-several")
+
+
 def _settled(roots: DataFrame) -> DataFrame:
     return roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
@@ -458,15 +469,18 @@ def copies(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFra
     own = stage(word_hashes(docs), "simhash-words")
     least = stage(own.groupBy("words").agg(F.min("doc_id").alias("node")), "simhash-least")
     texts = docs.withColumnRenamed("doc_id", "node").join(least.select("node"), "node", "left_semi")
-    told = stage(sketches(texts, common_shingles(texts)), "simhash-sketches")
+    told = freed(sketches(texts, common_shingles(texts)), "simhash-sketches")
     marks = stage(told.where("pos < 0").select("node", "size", "fp", "bits"), "simhash-marks")
-    keyed = told.where("pos >= 0").select("val", "node", "size", "pos")
+    rows = several_texts(told.where("pos >= 0").select("val", "node", "size", "pos"))
+    discard(told)
     ring = components(similar(ring_pairs(marks), marks, texts), "simhash-ring")
-    near = _settled(ring).unionByName(missed_links(keyed, marks, texts, ring, paired, block))
+    release(docs.sparkSession)
+    near = _settled(ring).unionByName(missed_links(rows, marks, texts, ring, paired, block))
     same = own.join(least, "words").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = components(near.unionByName(same), "simhash-copies")
     out = stage(own.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")), "simhash-roots")
-    discard(own, least, told, marks)
+    discard(own, least, marks)
+    release(docs.sparkSession)
     return out
 
 
