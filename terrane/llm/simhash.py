@@ -285,6 +285,13 @@ def _pair(x, y, where):
     return where.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
+def _bits_allow(x_size: str, x_bits: str, y_size: str, y_bits: str):
+    """Whether the bits of two texts leave room for the similarity: a bit that one has alone stands for a shingle not shared."""
+    alone = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITMAP_WORDS)), F.lit(0))
+    most = F.least(F.col(x_size) - alone(x_bits, y_bits), F.col(y_size) - alone(y_bits, x_bits))
+    return 9 * most >= 4 * (F.col(x_size) + F.col(y_size))
+
+
 def similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes, each looked at once, those whose texts (node, text) are of SIMILARITY or more.
 
@@ -292,9 +299,7 @@ def similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     """
     side = lambda k: marks.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}_bits")[i]))) for i in range(BITMAP_WORDS)), F.lit(0))
-    most = F.least(F.col("a_size") - alone("a", "b"), F.col("b_size") - alone("b", "a"))
-    left = freed(both.where(9 * most >= 4 * (F.col("a_size") + F.col("b_size"))).select("a", "b"), "simhash-candidates")
+    left = freed(both.where(_bits_allow("a_size", "a_bits", "b_size", "b_bits")).select("a", "b"), "simhash-candidates")
 
     def check(batches):
         powers, known = Powers(), {}
@@ -401,11 +406,27 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+def _block_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of two blocks that have a partner in another component which sizes and bits allow: no other can be linked."""
+    size, root, bits = pdf["size"].to_numpy(), pdf["root"].to_numpy(), np.stack(pdf["bits"].to_list()).astype(np.int64).view(np.uint64)
+    keep = np.zeros(len(pdf), dtype=bool)
+    for i in np.flatnonzero(pdf["open"].to_numpy()):
+        alone = np.bitwise_count(bits[i] & ~bits).sum(1, dtype=np.int64)
+        theirs = np.bitwise_count(bits & ~bits[i]).sum(1, dtype=np.int64)
+        most = np.minimum(size[i] - alone, size - theirs)
+        near = (9 * most >= 4 * (size + size[i])) & (root != root[i])
+        if near.any():
+            keep |= near
+            keep[i] = True
+    return pdf.loc[keep, ["val", "op", "mp", "node", "root", "open"]]
+
+
+def crowd_links(crowd: DataFrame, marks: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all near copies among the texts (val, node, root, n, first) of each shingle.
 
     The texts outside the component of a shingle's first text are held against all of its texts, block by block: a
-    task sees two blocks, and returns a forest.
+    task sees two blocks. Bitmaps say first which rows of two blocks can have a partner; the texts of those follow, and
+    a forest comes back.
     """
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / block))
     members = freed(crowd.withColumn("part", part).withColumn("outside", F.col("root") != F.col("first.root")).select("val", "node", "root", "part", "outside"), "simhash-crowds")
@@ -414,8 +435,10 @@ def crowd_links(crowd: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataF
     left = opened.withColumnRenamed("part", "op").join(parts(members, "mp"), "val").withColumn("open", F.lit(True))
     right = members.withColumnRenamed("part", "mp").join(parts(opened, "op"), "val").withColumn("open", F.lit(False))
     columns = ["val", "op", "mp", "node", "root", "open"]
-    rows = left.select(*columns).unionByName(right.select(*columns)).join(texts, "node")
-    return rows.groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
+    rows = left.select(*columns).unionByName(right.select(*columns)).join(marks.select("node", "size", "bits"), "node")
+    may = rows.groupBy("val", "op", "mp").applyInPandas(_block_rows, "val long, op long, mp long, node long, root long, open boolean")
+    able = freed(may, "simhash-blocks")
+    return able.join(texts, "node").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
 
 
 def missed_links(rows: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
@@ -435,16 +458,17 @@ def missed_links(rows: DataFrame, marks: DataFrame, texts: DataFrame, roots: Dat
 
     now = components(_settled(roots).unionByName(found), "simhash-star-roots")
     left = freed(_open(_rerooted(shared.drop("n", "first"), now)), "simhash-left")
-    side = left.where(F.col("n") <= paired)
+    side = left.where(F.col("n") <= paired).withColumn("first", F.col("first.node")).join(marks.select("node", "bits"), "node")
     x, y = side.alias("x"), side.drop("n", "first").alias("y")
-    across = x.join(y, F.col("x.val") == F.col("y.val")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.node") != F.col("x.first.node")) & _may_be_near("x", "y"))
+    allowed = _may_be_near("x", "y") & _bits_allow("x.size", "x.bits", "y.size", "y.bits")
+    across = x.join(y, F.col("x.val") == F.col("y.val")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.node") != F.col("x.first")) & allowed)
     more = freed(found.unionByName(similar(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), marks, texts)), "simhash-missed")
 
     if not left.where(F.col("n") > paired).limit(1).count():
         return more
     now = components(_settled(now).unionByName(more), "simhash-missed-roots")
     crowd = freed(_open(_rerooted(left.where(F.col("n") > paired).drop("n", "first"), now)), "simhash-crowd")
-    return more.unionByName(forest(crowd_links(crowd, texts, block)))
+    return more.unionByName(forest(crowd_links(crowd, marks, texts, block)))
 
 
 def several_texts(keyed: DataFrame) -> DataFrame:
