@@ -35,7 +35,7 @@ PAIRED, BLOCK = 32, 512
 COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
 #: Rows of prefixes that a task sends on at once; words of a text hashed at once; shingles compared at once in a block.
 PREFIX_ROWS, PIECE_WORDS, COLUMNS = 1 << 18, 1 << 15, 1 << 13
-#: Longs of the bitmap of a text's shingles; sets of shingles that a task keeps while it checks pairs.
+#: Longs of the bitmap of a text's shingles, a power of two (texts with more shingles than half its bits have a wide one too); sets of shingles that a task keeps while it checks pairs.
 BITMAP_WORDS, KEPT_SETS = 16, 512
 # Rolling hashes of byte ranges: a number for each byte, an odd base and its inverse modulo 2**64; and what mixes them.
 BYTES = np.random.default_rng(20240301).integers(0, 2**64, 256, dtype=np.uint64)
@@ -233,15 +233,21 @@ def word_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words string")
 
 
-def set_bits(shingles: np.ndarray) -> np.ndarray:
-    """BITMAP_WORDS longs with a bit for each hash: what sets no bit of another text's cannot be shared with it."""
-    bits = np.zeros(64 * BITMAP_WORDS, dtype=bool)
-    bits[shingles & (64 * BITMAP_WORDS - 1)] = True
+def set_bits(shingles: np.ndarray, longs: int = BITMAP_WORDS) -> np.ndarray:
+    """So many longs, a power of two, with a bit for each hash: what sets no bit of another text's cannot be shared with it."""
+    bits = np.zeros(64 * longs, dtype=bool)
+    bits[shingles & (64 * longs - 1)] = True
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
+def wide_bits(shingles: np.ndarray) -> np.ndarray | None:
+    """A bitmap of two to four bits a shingle, where the one of BITMAP_WORDS longs has fewer: that would be too full to rule out much."""
+    longs = 1 << max(0, -(-2 * len(shingles) // 64) - 1).bit_length()
+    return set_bits(shingles, longs) if longs > BITMAP_WORDS else None
+
+
 def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Of each text (node, text) a row (node, size, fp, bits), and rows (node, size, val, pos) of its prefix, in one table.
+    """Of each text (node, text) a row (node, size, fp, bits, wide), and rows (node, size, val, pos) of its prefix, in one table.
 
     The prefix is the first floor(size / 5) + 1 of its size shingles, those not common first, then by hash. Texts of
     similarity 0.8 share at least four fifths of the larger set, so neither prefix can miss all they share.
@@ -249,15 +255,15 @@ def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     sent = texts.sparkSession.sparkContext.broadcast(common)  # 1 MB at most
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        node, size, val, pos, fp, bits = zip(*out)
+        node, size, val, pos, fp, bits, wide = zip(*out)
         rows = {"node": np.concatenate(node), "size": np.concatenate(size), "val": np.concatenate(val), "pos": np.concatenate(pos)}
         fps = np.zeros(len(rows["node"]), dtype=np.int64)
-        sets = np.full(len(fps), None, dtype=object)
+        sets, wides = (np.full(len(fps), None, dtype=object) for _ in range(2))
         at = np.cumsum([0, *map(len, node)])[:-1]
         fps[at] = fp
-        for i, x in zip(at, bits):
-            sets[i] = x
-        return pd.DataFrame(rows | {"fp": fps, "bits": sets})
+        for i, x, y in zip(at, bits, wide):
+            sets[i], wides[i] = x, y
+        return pd.DataFrame(rows | {"fp": fps, "bits": sets, "wide": wides})
 
     def run(batches):
         (vals, counts), powers = sent.value, Powers()
@@ -269,7 +275,7 @@ def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                     at = np.minimum(np.searchsorted(vals, h), len(vals) - 1)
                     h = h[np.argsort(np.where(vals[at] == h, counts[at], 0), kind="stable")]
                 n = min(len(h), len(h) // 5 + 1)
-                out.append((np.full(n + 1, node), np.full(n + 1, len(h), dtype=np.int32), np.append(0, h[:n]), np.arange(-1, n, dtype=np.int32), set_fingerprint(own), set_bits(own)))
+                out.append((np.full(n + 1, node), np.full(n + 1, len(h), dtype=np.int32), np.append(0, h[:n]), np.arange(-1, n, dtype=np.int32), set_fingerprint(own), set_bits(own), wide_bits(own)))
                 rows += n
                 if rows > PREFIX_ROWS:
                     yield frame(out)
@@ -277,7 +283,7 @@ def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
             if out:
                 yield frame(out)
 
-    return texts.select("node", "text").mapInPandas(run, "node long, size int, val long, pos int, fp long, bits array<long>")
+    return texts.select("node", "text").mapInPandas(run, "node long, size int, val long, pos int, fp long, bits array<long>, wide array<long>")
 
 
 def _pair(x, y, where):
@@ -292,14 +298,27 @@ def _bits_allow(x_size: str, x_bits: str, y_size: str, y_bits: str):
     return 9 * most >= 4 * (F.col(x_size) + F.col(y_size))
 
 
+def _wide_allow():
+    """_bits_allow by the wide bitmaps of a and b, the longer one folded to the length of the other; a pair without both is allowed."""
+    n = F.least(F.size("a_wide"), F.size("b_wide"))
+    fold = lambda x: F.when(F.size(x) == n, F.col(x)).otherwise(F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseOR(q)))
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    x, y = fold("a_wide"), fold("b_wide")
+    most = F.least(F.col("a_size") - alone(x, y), F.col("b_size") - alone(y, x))
+    return F.coalesce(9 * most >= 4 * (F.col("a_size") + F.col("b_size")), F.lit(True))
+
+
 def similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes, each looked at once, those whose texts (node, text) are of SIMILARITY or more.
 
-    marks (node, size, bits) rule out first what their bits show to share too little; then the whole texts decide.
+    marks (node, size, bits, wide) rule out first what their bits show to share too little; then the whole texts decide.
     """
     side = lambda k: marks.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    left = freed(both.where(_bits_allow("a_size", "a_bits", "b_size", "b_bits")).select("a", "b"), "simhash-candidates")
+    sizes = (5 * F.col("a_size") >= 4 * F.col("b_size")) & (5 * F.col("b_size") >= 4 * F.col("a_size"))
+    left = freed(both.where(sizes & _bits_allow("a_size", "a_bits", "b_size", "b_bits")).select("a", "b"), "simhash-candidates")
+    wide = lambda k: marks.where("wide is not null").select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("wide").alias(f"{k}_wide"))
+    left = freed(left.join(wide("a"), "a", "left").join(wide("b"), "b", "left").where(_wide_allow()).select("a", "b"), "simhash-allowed")
 
     def check(batches):
         powers, known = Powers(), {}
@@ -407,17 +426,30 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of two blocks that have a partner in another component which sizes and bits allow: no other can be linked."""
-    size, root, bits = pdf["size"].to_numpy(), pdf["root"].to_numpy(), np.stack(pdf["bits"].to_list()).astype(np.int64).view(np.uint64)
+    """The rows of two blocks that have a partner in another component which sizes and bits allow: no other can be linked.
+
+    Bitmaps of one length are held against each other as a matrix; of two lengths, the longer is folded to the shorter.
+    """
+    size, root, is_open = pdf["size"].to_numpy(dtype=np.int64), pdf["root"].to_numpy(), pdf["open"].to_numpy()
+    longs = np.array([len(x) for x in pdf["bits"]])
+    lengths = [(n, at := np.flatnonzero(longs == n), np.stack(pdf["bits"].iloc[at].to_list()).astype(np.int64).view(np.uint64)) for n in np.unique(longs).tolist()]
+    folded_to = lambda m, n: np.bitwise_or.reduce(m.reshape(len(m), -1, n), axis=1) if m.shape[1] > n else m
     keep = np.zeros(len(pdf), dtype=bool)
-    for i in np.flatnonzero(pdf["open"].to_numpy()):
-        alone = np.bitwise_count(bits[i] & ~bits).sum(1, dtype=np.int64)
-        theirs = np.bitwise_count(bits & ~bits[i]).sum(1, dtype=np.int64)
-        most = np.minimum(size[i] - alone, size - theirs)
-        near = (9 * most >= 4 * (size + size[i])) & (root != root[i])
-        if near.any():
-            keep |= near
-            keep[i] = True
+    for opened, open_at, open_bits in lengths:
+        for n, at, theirs in lengths:
+            least = min(opened, n)
+            mine, theirs = folded_to(open_bits, least), folded_to(theirs, least)
+            for i, x in zip(open_at, mine):
+                if not is_open[i]:
+                    continue
+                able = np.flatnonzero((5 * size[at] >= 4 * size[i]) & (5 * size[i] >= 4 * size[at]) & (root[at] != root[i]))
+                if not len(able):
+                    continue
+                y, s = theirs[able], size[at][able]
+                most = np.minimum(size[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), s - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                near = able[9 * most >= 4 * (s + size[i])]
+                if len(near):
+                    keep[at[near]] = keep[i] = True
     return pdf.loc[keep, ["val", "op", "mp", "node", "root", "open"]]
 
 
@@ -425,8 +457,8 @@ def crowd_links(crowd: DataFrame, marks: DataFrame, texts: DataFrame, block: int
     """Links (a, b) that connect all near copies among the texts (val, node, root, n, first) of each shingle.
 
     The texts outside the component of a shingle's first text are held against all of its texts, block by block: a
-    task sees two blocks. Bitmaps say first which rows of two blocks can have a partner; the texts of those follow, and
-    a forest comes back.
+    task sees two blocks. Bitmaps, and wide ones after them, say first which rows of two blocks can have a partner; the
+    texts of those follow, and a forest comes back.
     """
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / block))
     members = freed(crowd.withColumn("part", part).withColumn("outside", F.col("root") != F.col("first.root")).select("val", "node", "root", "part", "outside"), "simhash-crowds")
@@ -435,9 +467,10 @@ def crowd_links(crowd: DataFrame, marks: DataFrame, texts: DataFrame, block: int
     left = opened.withColumnRenamed("part", "op").join(parts(members, "mp"), "val").withColumn("open", F.lit(True))
     right = members.withColumnRenamed("part", "mp").join(parts(opened, "op"), "val").withColumn("open", F.lit(False))
     columns = ["val", "op", "mp", "node", "root", "open"]
-    rows = left.select(*columns).unionByName(right.select(*columns)).join(marks.select("node", "size", "bits"), "node")
-    may = rows.groupBy("val", "op", "mp").applyInPandas(_block_rows, "val long, op long, mp long, node long, root long, open boolean")
-    able = freed(may, "simhash-blocks")
+    able = left.select(*columns).unionByName(right.select(*columns))
+    for bits in ("bits", F.coalesce("wide", "bits").alias("bits")):
+        rows = able.join(marks.select("node", "size", bits), "node")
+        able = freed(rows.groupBy("val", "op", "mp").applyInPandas(_block_rows, "val long, op long, mp long, node long, root long, open boolean"), "simhash-blocks")
     return able.join(texts, "node").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
 
 
@@ -494,7 +527,7 @@ def copies(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFra
     least = stage(own.groupBy("words").agg(F.min("doc_id").alias("node")), "simhash-least")
     texts = docs.withColumnRenamed("doc_id", "node").join(least.select("node"), "node", "left_semi")
     told = freed(sketches(texts, common_shingles(texts)), "simhash-sketches")
-    marks = stage(told.where("pos < 0").select("node", "size", "fp", "bits"), "simhash-marks")
+    marks = stage(told.where("pos < 0").select("node", "size", "fp", "bits", "wide"), "simhash-marks")
     rows = several_texts(told.where("pos >= 0").select("val", "node", "size", "pos"))
     discard(told)
     ring = components(similar(ring_pairs(marks), marks, texts), "simhash-ring")
