@@ -425,31 +425,36 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _shared_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits each row of x shares with each row of y, by products of matrices."""
+    out, per = np.zeros((len(x), len(y)), dtype=np.float32), COLUMNS // 64
+    ones = lambda m, i: np.unpackbits(np.ascontiguousarray(m[:, i : i + per]).view(np.uint8), axis=1).astype(np.float32)
+    for i in range(0, x.shape[1], per):
+        out += ones(x, i) @ ones(y, i).T
+    return out
+
+
 def _block_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     """The rows of two blocks that have a partner in another component which sizes and bits allow: no other can be linked.
 
-    Bitmaps of one length are held against each other as a matrix; of two lengths, the longer is folded to the shorter.
+    Of bitmaps of two lengths the longer is folded to the shorter; texts of one with over twice the other's bits are too
+    far apart in size.
     """
-    size, root, is_open = pdf["size"].to_numpy(dtype=np.int64), pdf["root"].to_numpy(), pdf["open"].to_numpy()
+    size, root, is_open = pdf["size"].to_numpy(dtype=np.int64), pdf["root"].to_numpy(), pdf["open"].to_numpy(dtype=bool)
     longs = np.array([len(x) for x in pdf["bits"]])
-    lengths = [(n, at := np.flatnonzero(longs == n), np.stack(pdf["bits"].iloc[at].to_list()).astype(np.int64).view(np.uint64)) for n in np.unique(longs).tolist()]
-    folded_to = lambda m, n: np.bitwise_or.reduce(m.reshape(len(m), -1, n), axis=1) if m.shape[1] > n else m
+    rows = {n: np.flatnonzero(longs == n) for n in np.unique(longs).tolist()}
+    bits = {n: np.stack(pdf["bits"].iloc[at].to_list()).astype(np.int64).view(np.uint64) for n, at in rows.items()}
     keep = np.zeros(len(pdf), dtype=bool)
-    for opened, open_at, open_bits in lengths:
-        for n, at, theirs in lengths:
-            least = min(opened, n)
-            mine, theirs = folded_to(open_bits, least), folded_to(theirs, least)
-            for i, x in zip(open_at, mine):
-                if not is_open[i]:
-                    continue
-                able = np.flatnonzero((5 * size[at] >= 4 * size[i]) & (5 * size[i] >= 4 * size[at]) & (root[at] != root[i]))
-                if not len(able):
-                    continue
-                y, s = theirs[able], size[at][able]
-                most = np.minimum(size[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), s - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-                near = able[9 * most >= 4 * (s + size[i])]
-                if len(near):
-                    keep[at[near]] = keep[i] = True
+    for n in rows:
+        own = rows[n][is_open[rows[n]]]
+        for m in (m for m in rows if len(own) and m <= 2 * n and n <= 2 * m):
+            x, y = (np.bitwise_or.reduce(b.reshape(len(b), -1, min(n, m)), axis=1) for b in (bits[n][is_open[rows[n]]], bits[m]))
+            both, of_x, of_y = _shared_bits(x, y), np.bitwise_count(x).sum(1, dtype=np.int64), np.bitwise_count(y).sum(1, dtype=np.int64)
+            s, t = size[own][:, None], size[rows[m]][None, :]
+            near = 9 * (np.minimum(s - of_x[:, None], t - of_y[None, :]) + both) >= 4 * (s + t)
+            near &= root[own][:, None] != root[rows[m]][None, :]
+            keep[own[near.any(1)]] = True
+            keep[rows[m][near.any(0)]] = True
     return pdf.loc[keep, ["val", "op", "mp", "node", "root", "open"]]
 
 

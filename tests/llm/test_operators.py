@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -635,3 +636,33 @@ def test_pipeline_stages_hand_on_documents(spark):
     assert kept <= {d for d in least if least[d] == d} - {d for d, _ in dirty} and len(kept) > 0.8 * len(set(least.values()) - {d for d, _ in dirty})
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "personal_data", "packing"]
     assert corpus_pipeline.STAGES[0][1](spark, docs, sf).columns == docs.columns
+
+
+def test_bitmaps_of_blocks_keep_every_row_that_has_a_near_copy():
+    rng = np.random.default_rng(1)
+    drawn = lambda n: rng.integers(-(2**63), 2**63 - 1, n)
+    for _ in range(5):
+        sets = []
+        for n in rng.integers(1, 3000, 30):
+            a, k = drawn(n), int(n * rng.uniform(0, 0.3))
+            sets += [np.unique(a), np.unique(np.concatenate([a[k:], drawn(int(rng.integers(0, max(1, k))))]))]
+        opened = rng.random(60) < 0.7
+        near = {x for i in range(60) for j in range(60) if i != j and opened[i] and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j])) for x in (i, j)}
+        for wide in (False, True):
+            bits = [simhash.set_bits(s) if not wide or simhash.wide_bits(s) is None else simhash.wide_bits(s) for s in sets]
+            rows = pd.DataFrame({"val": 0, "op": 0, "mp": 1, "node": range(60), "root": range(60), "open": opened, "size": [len(s) for s in sets], "bits": bits})
+            kept = set(simhash._block_rows(rows)["node"])
+            assert near <= kept
+            assert not wide or len(kept) <= len(near) + 20
+        assert simhash._block_rows(rows.assign(root=0)).empty
+
+
+def test_wide_bitmaps_of_two_lengths_drop_no_near_copy(spark):
+    words = [f"w{i}" for i in range(1220)]
+    texts = {1: words[:1000], 2: words, 3: words[:800] + [f"v{i}" for i in range(420)], 4: [f"u{i}" for i in range(1220)], 5: words[:300]}
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "node long, text string")
+    none = np.zeros(0, dtype=np.int64)
+    marks = simhash.sketches(table, (none, none)).where("pos < 0").select("node", "size", "fp", "bits", "wide").cache()
+    assert {r.node: r.n for r in marks.selectExpr("node", "size(wide) n").collect() if r.n} == {1: 32, 2: 64, 3: 64, 4: 64}
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    assert [(r.a, r.b) for r in simhash.similar(pairs, marks, table).collect()] == [(1, 2)]
