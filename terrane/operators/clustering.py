@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,6 +40,48 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
+def ward_line(x: np.ndarray, k: int) -> np.ndarray:
+    """ward's labels for one column x, in n log n and without a matrix.
+
+    On a line only neighbours can be nearest: for a < b < c the distance of a and c is larger than the least of the others,
+    unless that is 0. So equal values join first, then a heap holds neighbours by distance, ties to the first pair as in ward.
+    """
+    values, first, at, counts = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
+    n, m = len(x), len(values)
+    group = first[at]
+    if m <= k:  # ward ends amid equal values: the last pairs stay apart
+        copies = np.setdiff1d(np.arange(n), first)
+        alone = copies[np.lexsort((copies, group[copies]))][n - k :]
+        group[alone] = alone
+        return np.unique(group, return_inverse=True)[1]
+    size, total, least = counts.tolist(), (values * counts).tolist(), first.tolist()
+    before, after, age = list(range(-1, m - 1)), [*range(1, m), -1], [0] * m
+
+    def pair(a: int, b: int) -> tuple:
+        p, q = size[a], size[b]
+        i, j = sorted((least[a], least[b]))
+        return 2.0 * (total[b] * p - total[a] * q) ** 2 / (p * q * (p + q)), i, j, a, b, age[a], age[b]
+
+    heap = [pair(a, a + 1) for a in range(m - 1)]
+    heapq.heapify(heap)
+    left = m - k
+    while left:
+        _, i, _, a, b, old_a, old_b = heapq.heappop(heap)
+        if age[a] != old_a or age[b] != old_b:
+            continue
+        left -= 1
+        size[a], total[a], least[a], after[a] = size[a] + size[b], total[a] + total[b], i, after[b]
+        age[a], age[b] = age[a] + 1, -1
+        if after[a] >= 0:
+            before[after[a]] = a
+            heapq.heappush(heap, pair(a, after[a]))
+        if before[a] >= 0:
+            heapq.heappush(heap, pair(before[a], a))
+    heads = np.flatnonzero(np.array(age) >= 0)
+    run = np.searchsorted(heads, np.arange(m), side="right") - 1
+    return np.unique(np.array(least)[heads][run][at], return_inverse=True)[1]
+
+
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean over all points of (b - a) / max(a, b); 0 for the only member of a cluster."""
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
@@ -101,11 +145,12 @@ def choose(candidates: list[dict]) -> dict | None:
 
 
 def ward_groups(df: DataFrame, key: str, by: str, columns: list[str], k: int) -> DataFrame:
-    """(by, key, cluster) with a Ward partition of each group; clusters are numbered by their least key. A group has to fit a task."""
+    """(by, key, cluster) with a Ward partition of each group; clusters are numbered by their least key. A group's rows have to fit a task, with several columns their squared number."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        labels = ward(pdf[columns].to_numpy(dtype=float), min(k, len(pdf)))
+        x, most = pdf[columns].to_numpy(dtype=float), min(k, len(pdf))
+        labels = ward_line(x[:, 0], most) if len(columns) == 1 else ward(x, most)
         order = {c: i for i, c in enumerate(dict.fromkeys(labels.tolist()))}
         return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": [order[c] for c in labels.tolist()]})
 
@@ -152,7 +197,7 @@ def stability_summary(rounds: DataFrame) -> DataFrame:
 
 
 def sensitivity(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
-    """(ari, least_jaccard): agreement of Ward clusters of the columns with those of their logarithms. All rows have to fit a task."""
+    """(ari, least_jaccard): agreement of Ward clusters of the columns with those of their logarithms. All rows have to fit a task, with several columns their squared number."""
     one = df.select(F.lit(0).cast("long").alias("g"), F.col(key).cast("long").alias(key), *columns)
     logs = one.select("g", key, *[(F.signum(c) * F.log1p(F.abs(c))).alias(c) for c in columns])
     a = ward_groups(one, key, "g", columns, k).select(key, F.col("cluster").alias("a"))

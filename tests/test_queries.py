@@ -88,6 +88,24 @@ def test_ward_and_silhouette():
     assert clustering.choose([{"k": 2, "silhouette": 0.9, "gates": {"a": False}}, {"k": 3, "silhouette": 0.5, "gates": {"a": True}}])["k"] == 3
 
 
+def test_ward_on_a_line_equals_ward():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 5, 9, 40, 150):
+        for x in (rng.normal(0, 3, n), rng.choice(rng.normal(0, 3, max(1, n // 4)), n), np.zeros(n), np.exp(rng.normal(0, 2, n))):
+            for k in (1, 2, 3, 7):
+                if k <= n:
+                    assert clustering.ward_line(x, k).tolist() == clustering.ward(x[:, None], k).tolist()
+
+
+def test_many_rows_of_one_group_need_no_matrix(spark):
+    """30,000 rows, whose matrix of distances would have 7.2 GB."""
+    df = spark.range(30_000).select("id", ((F.col("id") * 7919 % 30_011) + (F.col("id") % 3) * 1e6).alias("x"))
+    told = clustering.sensitivity(df, "id", ["x"], 3).first()
+    assert 0 < told.ari <= 1 and 0 < told.least_jaccard <= 1
+    got = clustering.ward_groups(df.select("id", "x", F.lit(0).cast("long").alias("g")), "id", "g", ["x"], 3).collect()
+    assert all(r.cluster == r.id % 3 for r in got) and len(got) == 30_000
+
+
 def test_stability(spark):
     x = np.concatenate([np.random.default_rng(4).normal(c, 0.1, (10, 2)) for c in (0, 5)])
     assert [r.ari for r in clustering.stability(spark, x, 2, rounds=6).collect()] == [1.0] * 6
