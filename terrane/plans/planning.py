@@ -15,19 +15,20 @@ from .routes import _sites
 @query()
 def zone_knapsack(spark, d):
     """Route-days dealt to the zones of each nation: options of none to two days for each zone, most targets first."""
-    sites = _sites(spark, d)
+    sites = F.array_sort(F.collect_list(F.struct("id", "x", "y", "tier"))).alias("sites")
+    zones = _sites(spark, d).groupBy("zone").agg(sites).select("zone", "sites.id", "sites.x", "sites.y", "sites.tier")
 
-    def options(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = routing.plane_zone(pdf, 4, 40.0, 45.0)
-        plans = [(0, ()), *routing.fleets(z, 2)]
-        rows = [(int(pdf["zone"].iloc[0]), n, *routing.covered(z, mask), float(sum(r[1] for r in plan))) for n, (mask, plan) in enumerate(plans)]
-        return pd.DataFrame(rows, columns=["zone", "days", "p1", "p2", "travel"])
+    def options(batches):
+        for b in batches:
+            yield routing.plane_table(b, 4, 40.0, 45.0)
 
-    found = staged(sites.groupBy("zone").applyInPandas(options, "zone long, days long, p1 long, p2 long, travel double"), "options")
+    found = staged(zones.mapInPandas(options, "zone long, days long, p1 long, p2 long, travel double"), "options")
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {str(z): [((int(r.p1), int(r.p2)), r.travel) for r in g.sort_values("days").itertuples()] for z, g in pdf.groupby("zone")}
-        dealt = routing.allocate(by, (3 * len(by)) // 2, 0)
+        by: dict[str, list] = {}
+        for r in pdf.sort_values(["zone", "days"]).itertuples():
+            by.setdefault(str(r.zone), []).append(((int(r.p1), int(r.p2)), r.travel))
+        dealt = routing.deal(by, (3 * len(by)) // 2)
         nation = int(pdf["nation"].iloc[0])
         return pd.DataFrame([(nation, int(z), n, *by[z][n][0], by[z][n][1]) for z, n in dealt.items()], columns=["nation", "zone", "days", "p1", "p2", "travel"])
 

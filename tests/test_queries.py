@@ -8,6 +8,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -79,6 +80,42 @@ def test_exact_plans_are_no_worse_than_greedy_and_days_are_dealt():
         routing.clock("9:30")
 
 
+@pytest.mark.parametrize("sites", [1, 2, 4, 8])
+def test_plans_of_many_zones_equal_fleets(sites):
+    rng = random.Random(sites)
+    for scale, grid in ((5, 1.0), (60, 0.001), (200, 0.25)):
+        ids = np.sort([rng.sample(range(15_000), sites) for _ in range(6)], axis=1)
+        x, y = (np.array([[round(rng.random() * scale / grid) * grid for _ in range(sites)] for _ in ids]) for _ in "xy")
+        tier = np.array([[rng.randint(0, 1) for _ in range(sites)] for _ in ids])
+        got = routing.plane_options(ids, x, y, tier, 4, 40.0, 45.0)
+        for k in range(len(ids)):
+            z = routing.plane_zone(pd.DataFrame({"id": ids[k], "x": x[k], "y": y[k], "tier": tier[k]}), 4, 40.0, 45.0)
+            want = [(*routing.covered(z, mask), float(sum(r[1] for r in plan))) for mask, plan in [(0, ()), *routing.fleets(z, 2)]]
+            assert [(a[k], b[k], c[k]) for a, b, c in got] == want
+    with pytest.raises(ValueError):
+        routing.plane_options(np.array([[1, 1]]), np.zeros((1, 2)), np.zeros((1, 2)), np.zeros((1, 2)), 4, 40.0, 45.0)
+
+
+def test_days_dealt_by_gain_equal_allocate():
+    rng = random.Random(9)
+    for _ in range(100):
+        options = {}
+        for zone in rng.sample(range(50), rng.randint(1, 7)):
+            a, b = ((rng.randint(0, 2), rng.randint(0, 2)) for _ in "ab")
+            cost = rng.randint(0, 3) / 1000
+            options[str(zone)] = [((0, 0), 0.0), (a, cost), (rng.choice([a, b, (2 * a[0], 2 * a[1])]), cost + rng.randint(0, 3) / 1000)]
+        for days in (0, 1, 3 * len(options) // 2, 50):
+            assert routing.deal(options, days) == routing.allocate(options, days, 0)
+    many = {str(i): [((0, 0), 0.0), ((i % 5 + 1, 1), 1.0), ((i % 5 + 2, 1), 2.0)] for i in range(20_000)}
+    assert sum(routing.deal(many, 30_000).values()) == 30_000
+
+
+def test_rounding_of_arrays_equals_python():
+    rng = random.Random(10)
+    xs = np.array([rng.randint(0, 10**6) / 16 for _ in range(500)] + [rng.randint(0, 10**7) * 0.0015 for _ in range(500)] + [rng.random() * 500 for _ in range(500)])
+    assert all(routing.rounded(xs, n).tolist() == [round(x, n) for x in xs.tolist()] for n in (3, 6))
+
+
 def test_ward_and_silhouette():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.2, (15, 2)) for c in (0, 4, 9)])
