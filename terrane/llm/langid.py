@@ -21,7 +21,7 @@ WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 SAMPLE_DOCS, SAMPLE_WINDOWS, EXCERPT = 3000, 3, 400
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 20240229
 UNKNOWN = "und"
-#: A text is of a learned script if this share of its letters is; a letter is learned if this share of sample documents has it.
+#: A text is of a learned script if this share of its letters is; a letter is learned if this share of all documents that may be learned from has it.
 KNOWN_LETTERS, LETTER_DOCS = 0.5, 0.001
 
 
@@ -135,14 +135,31 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame) -> Network | None:
-    """A network from about SAMPLE_DOCS documents, chosen by a hash of doc_id, that have an id, text and lang and are not held out; None without any.
+def learned_letters(docs: DataFrame) -> str:
+    """The lower-case letters that at least LETTER_DOCS of docs have anywhere in their text: every document counts, each once for a letter."""
 
-    The chance of being chosen falls with their number, so what comes to the driver doesn't grow with the input.
+    def run(batches):
+        n, seen = 0, Counter()
+        for b in batches:
+            n += len(b)
+            for t in b["text"]:
+                seen.update(filter(str.isalpha, set(t.lower())))
+        yield pd.DataFrame({"letter": ["", *seen], "n": [n, *seen.values()]})
+
+    rows = docs.select("text").mapInPandas(run, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n")).collect()  # no more than Unicode has letters
+    n = {r.letter: r.n for r in rows}
+    return "".join(sorted(c for c in n if c and n[c] >= LETTER_DOCS * n[""]))
+
+
+def train(docs: DataFrame, scripts: bool = True) -> Network | None:
+    """A network whose weights come from about SAMPLE_DOCS documents, chosen by a hash of doc_id, that have an id, text and lang and are not held out; None without any.
+
+    The chance of being chosen falls with their number, so what comes to the driver doesn't grow with the input. Its
+    letters, which only the filter by scripts needs, are counted over all these documents.
     """
-    usable = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    chance = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
-    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**52)) / float(2**52) <= chance)
+    learn = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
+    chance = min(1.0, SAMPLE_DOCS / max(1, learn.count()))
+    usable = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**52)) / float(2**52) <= chance)
     n = F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1
     cuts = F.array(*[F.substr("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), n)).cast("int"), F.lit(EXCERPT)) for i in range(SAMPLE_WINDOWS)])
     rows = usable.select("lang", cuts.alias("cuts"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "cuts").limit(2 * SAMPLE_DOCS).collect()
@@ -154,8 +171,7 @@ def train(docs: DataFrame) -> Network | None:
     if not kept:
         return None
     net = Network(langs)
-    seen = Counter(c for r in rows for c in set("".join(r.cuts).lower()) if c.isalpha())
-    net.letters = "".join(sorted(c for c, n in seen.items() if n >= LETTER_DOCS * len(rows)))
+    net.letters = learned_letters(learn) if scripts else ""
     net.train(np.stack([x for x, _ in kept]), np.array([y for _, y in kept]))
     return net
 
@@ -205,17 +221,15 @@ def predicted(docs: DataFrame, net: Network | None, keep: list[str], scripts: bo
 
 def identify(docs: DataFrame) -> DataFrame:
     """For each row: doc_id, held_out, lang_pred, score. Repeated rows each give a row; an empty table gives none; a null doc_id is neither held out nor learned from."""
-    return predicted(docs, train(docs), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predicted(docs, train(docs, scripts=False), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def least_score(docs: DataFrame, net: Network | None) -> float:
-    """Half way from chance to the lowest score of a rightly predicted document, of about SAMPLE_DOCS labelled ones held out; 0 without any."""
+    """Half way from chance to the lowest score of a rightly predicted document, of all labelled ones held out; 0 without any."""
     if net is None:
         return 0.0
-    usable = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(held_out())
-    chance = min(1.0, SAMPLE_DOCS / max(1, usable.count()))
-    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**52)) / float(2**52) <= chance)
-    low = predicted(some, net, ["lang"], scripts=True).where("lang_pred = lang").agg(F.min("score")).first()[0]
+    tested = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(held_out())
+    low = predicted(tested, net, ["lang"], scripts=True).where("lang_pred = lang").agg(F.min("score")).first()[0]
     return 0.0 if low is None else 0.999 * min(low, (low + 1 / len(net.langs)) / 2)
 
 

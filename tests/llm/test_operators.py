@@ -584,6 +584,21 @@ def test_unlearned_scripts_go_and_clean_documents_stay(spark, rows):
     assert 0.49 < langid.least_score(docs, langid.train(docs)) < 1
 
 
+def test_letters_and_least_score_come_from_all_documents(spark, rows, monkeypatch):
+    """With a sample of 20 documents, a rare letter and a text that scores lowest still count."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    mine = [(d + 1000 * k, t + f" {k}", lang) for k in range(10) for d, t, lang, *_ in rows if d is not None and 0 <= d < 60]
+    docs = spark.createDataFrame([*mine, (99_999, "the water ø house " * 9, "en")], "doc_id long, text string, lang string").repartition(3)
+    net = langid.train(docs)
+    assert not langid.train(docs, scripts=False).letters
+    learn = [t.lower() for d, t, _ in [*mine, (99_999, "the water ø house", "en")] if zlib.crc32(str(d).encode()) % 4 != 2]
+    share = {c: np.mean([c in t for t in learn]) for c in set("".join(learn)) if c.isalpha()}
+    assert net.letters == "".join(sorted(c for c, n in share.items() if n >= langid.LETTER_DOCS)) and "ø" in net.letters
+    told = {r.doc_id: r for r in langid.predicted(docs, net, ["doc_id", "lang"], scripts=True).collect()}
+    low = min(r.score for d, r in told.items() if zlib.crc32(str(d).encode()) % 4 == 2 and r.lang == r.lang_pred)
+    assert langid.least_score(docs, net) == pytest.approx(0.999 * min(low, (low + 0.5) / 2), abs=1e-12)
+
+
 # 10: sharding
 
 
