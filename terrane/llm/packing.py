@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,19 @@ def pack(lengths: list[int], sources: list[str], clusters: list[int], capacity:
     return out
 
 
+def _lengths(docs: DataFrame, group) -> DataFrame:
+    """Staged rows (doc_id, source, cluster, row, n): a hash of the column group, the row's number where doc_id is null, the words between white space."""
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", source.alias("source"), F.xxhash64(group).alias("cluster"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"), F.col("text").cast("binary").alias("text"))
+
+    def count(batches):
+        for b in batches:
+            n = [len(t.split()) if t else 0 for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "n"])
+
+    return stage(rows.mapInArrow(count, rows.drop("text").schema.add("n", "long")), "packing-lengths")
+
+
 def best_fit(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(doc_id, source, cluster, piece, bin_id, bin_offset, n_words): where each piece of each document goes.
 
@@ -112,12 +126,12 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = No
     number where it is null, each packed by itself, so bins never span groups. A document without words has one row without a bin. A null source counts as a source of
     its own; repeated rows are documents of their own; empty docs give an empty result.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
-    group = F.col(cluster).cast("string") if cluster else text
-    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = stage(docs.select("doc_id", source.alias("source"), words.alias("n"), F.xxhash64(group).alias("cluster"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row")), "packing-lengths")
-    groups = max(1, -(-rows.count() // group_docs))
+    rows = _lengths(docs, F.col(cluster).cast("string") if cluster else F.coalesce(F.col("text"), F.lit("")))
+    return _packed(rows, max(1, -(-rows.count() // group_docs)), capacity)
+
+
+def _packed(rows: DataFrame, groups: int, capacity: int) -> DataFrame:
+    """best_fit of rows (doc_id, source, cluster, row, n) in so many groups."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "cluster", "n"], kind="stable")
@@ -136,7 +150,8 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = No
 
 def of_copies(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """best_fit with the groups of exact and near copies as clusters; a row without doc_id is in a cluster of its own text."""
-    roots = stage(simhash.copies(docs), "packing-copies").withColumnsRenamed({"doc_id": "copy_id", "root": "copy_root"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.coalesce(F.concat(F.lit("root "), F.col("copy_root").cast("string")), F.concat(F.lit("text "), text))
-    return best_fit(docs.join(roots, F.col("doc_id") == F.col("copy_id"), "left").withColumn("copy_group", own), capacity, "copy_group", group_docs)
+    roots = simhash.copies(docs).withColumnsRenamed({"doc_id": "copy_id", "root": "copy_root"})
+    own = _lengths(docs, F.concat(F.lit("text "), F.coalesce(F.col("text"), F.lit(""))))
+    grouped = F.coalesce(F.when(F.col("copy_root").isNotNull(), F.xxhash64(F.concat(F.lit("root "), F.col("copy_root").cast("string")))), F.col("cluster"))
+    rows = own.join(roots, F.col("doc_id") == F.col("copy_id"), "left").withColumn("cluster", grouped)
+    return _packed(rows, max(1, -(-own.count() // group_docs)), capacity)

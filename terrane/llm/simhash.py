@@ -33,8 +33,12 @@ SIMILARITY, VERIFIED_SHINGLE = 0.8, 5
 PAIRED, BLOCK = 32, 512
 #: Shingles that come last in the order of the prefix filter: so many at most, the most common ones of so many texts.
 COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
-#: Rows of prefixes that a task sends on at once; words of a text hashed at once; shingles compared at once in a block.
+#: Shingles of prefixes that a task sends on at once; words of a text hashed at once; shingles compared at once in a block.
 PREFIX_ROWS, PIECE_WORDS, COLUMNS = 1 << 18, 1 << 15, 1 << 13
+#: Bytes of short texts hashed at once. Prefixes are dealt by shingle to so many parts at least, one for so many bytes of text.
+TOGETHER, PARTS, PART_BYTES = 1 << 17, 32, 1 << 25
+#: Columns of a part of the prefixes: its shingles with their places in the prefix; of its texts the nodes, keys, sizes and counts of shingles.
+DEALT = ("vals", "places", "nodes", "keys", "sizes", "counts")
 #: Longs of the bitmap of a text's shingles, a power of two (texts with more shingles than half its bits have a wide one too); sets of shingles that a task keeps while it checks pairs.
 BITMAP_WORDS, KEPT_SETS = 16, 512
 # Rolling hashes of byte ranges: a number for each byte, an odd base and its inverse modulo 2**64; and what mixes them.
@@ -213,24 +217,54 @@ def shingle_set(words: bytes, powers: Powers) -> np.ndarray:
     return np.unique(np.concatenate(out).view(np.int64))
 
 
-def set_fingerprint(shingles: np.ndarray) -> int:
-    """The 64-bit SimHash of distinct hashes."""
-    if not len(shingles):
-        return 0
-    votes, per = np.zeros(64, dtype=np.int64), 255  # sums of bytes hold 255
-    for i in range(0, len(shingles), per):
-        votes += np.unpackbits(shingles[i : i + per].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view("<i8")[0])
+def shingle_sets(texts: list[bytes], powers: Powers) -> list[np.ndarray]:
+    """The shingle_set of each folded text; short texts are hashed together, up to TOGETHER bytes at once."""
+    out, group, held = [], [], 0
+    for i, t in enumerate(texts):
+        alone = not t or len(t) > TOGETHER // 2
+        out.append(shingle_set(t, powers) if alone else None)
+        if not alone:
+            group.append(i)
+            held += len(t) + 1
+        if group and (held > TOGETHER // 2 or i + 1 == len(texts)):
+            _hash_together(texts, group, powers, out)
+            group, held = [], 0
+    if group:
+        _hash_together(texts, group, powers, out)
+    return out
 
 
-def word_hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, words) of each row: a hash of the word sequence, equal for exact copies."""
+def _hash_together(texts: list[bytes], group: list[int], powers: Powers, out: list) -> None:
+    """Put the shingle_set of the texts of the group, none of them empty, into out."""
+    k, data = VERIFIED_SHINGLE, np.frombuffer(b" ".join([texts[i] for i in group]), dtype=np.uint8)
+    powers.to(len(data) + 1)
+    gaps = np.flatnonzero(data == 32)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(BYTES[data] * powers.up[: len(data)], dtype=np.uint64, out=sums[1:])
+    s, e = starts[: max(0, len(starts) + 1 - k)], ends[k - 1 :]
+    x = (sums[e] - sums[s]) * powers.down[s]
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
+    x = (x ^ (x >> np.uint64(31))).view(np.int64)
+    first = np.searchsorted(starts, np.cumsum([0, *[len(texts[i]) + 1 for i in group[:-1]]])).tolist()
+    for i, a, z in zip(group, first, [*first[1:], len(starts)]):
+        if z - a < k:
+            out[i] = shingle_set(texts[i], powers)
+            continue
+        h = np.sort(x[a : z - k + 1])
+        new = h[1:] != h[:-1]
+        out[i] = h if new.all() else h[np.append(True, new)]
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "words": [xxhash.xxh128_hexdigest(folded(t)) for t in b["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words string")
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The 64-bit SimHash of distinct hashes: votes of each eighth bit are counted in the bytes of a long, 255 hashes at once."""
+    if not len(shingles):
+        return 0
+    eighths = (shingles.view(np.uint64)[:, None] >> np.arange(8, dtype=np.uint64)) & np.uint64(0x0101010101010101)
+    sums = np.add.reduceat(eighths, np.arange(0, len(shingles), 255), axis=0)
+    votes = sums.view(np.uint8).reshape(-1, 8, 8).sum(0, dtype=np.int64).T.reshape(64)
+    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view("<i8")[0])
 
 
 def set_bits(shingles: np.ndarray, longs: int = BITMAP_WORDS) -> np.ndarray:
@@ -246,44 +280,93 @@ def wide_bits(shingles: np.ndarray) -> np.ndarray | None:
     return set_bits(shingles, longs) if longs > BITMAP_WORDS else None
 
 
-def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Of each text (node, text) a row (node, size, fp, bits, wide), and rows (node, size, val, pos) of its prefix, in one table.
+def _dealt(sets: list[np.ndarray], texts: list[tuple[int, int, int]], parts: int) -> pd.DataFrame:
+    """Prefixes, and node, key and size of their texts, as bytes: a row for each part that a shingle falls in.
 
-    The prefix is the first floor(size / 5) + 1 of its size shingles, those not common first, then by hash. Texts of
-    similarity 0.8 share at least four fifths of the larger set, so neither prefix can miss all they share.
+    A part's shingles stand text by text: nodes, keys, sizes and counts have an entry for each of its texts.
+    """
+    counts = [len(x) for x in sets]
+    val, text = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
+    place = np.arange(len(val), dtype=np.int32) - np.repeat(np.cumsum([0, *counts[:-1]], dtype=np.int32), counts)
+    part = (val.view(np.uint64) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    val, text, place, part = val[order], text[order], place[order], part[order]
+    run = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (part[1:] != part[:-1])))
+    of = np.array(texts, dtype=np.int64)[text[run]]
+    size, count = of[:, 2].astype(np.int32), np.diff(np.append(run, len(val))).astype(np.int32)
+    out, used = [], np.unique(part)
+    ends = np.searchsorted(part, used, "right").tolist()
+    for p, a, z in zip(used.tolist(), [0, *ends[:-1]], ends):
+        i, j = np.searchsorted(run, [a, z])
+        out.append((p, val[a:z].tobytes(), place[a:z].tobytes(), of[i:j, 0].tobytes(), of[i:j, 1].tobytes(), size[i:j].tobytes(), count[i:j].tobytes()))
+    return pd.DataFrame(out, columns=["pos", *DEALT])
+
+
+def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int = PARTS) -> DataFrame:
+    """Of each text (node, text) a row (node, size, words, fp, bits, wide) with pos -1, and its prefix's shingles, dealt to parts as bytes, with the part as pos; in one table.
+
+    words is a hash of the word sequence, equal for exact copies. The prefix is the first floor(size / 5) + 1 of its size
+    shingles, those not common first, then by hash. Texts of similarity 0.8 share at least four fifths of the larger
+    set, so neither prefix can miss all they share.
     """
     sent = texts.sparkSession.sparkContext.broadcast(common)  # 1 MB at most
+    marked, filled = ["node", "size", "words", "fp", "bits", "wide"], 1 << 20
 
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        node, size, val, pos, fp, bits, wide = zip(*out)
-        rows = {"node": np.concatenate(node), "size": np.concatenate(size), "val": np.concatenate(val), "pos": np.concatenate(pos)}
-        fps = np.zeros(len(rows["node"]), dtype=np.int64)
-        sets, wides = (np.full(len(fps), None, dtype=object) for _ in range(2))
-        at = np.cumsum([0, *map(len, node)])[:-1]
-        fps[at] = fp
-        for i, x, y in zip(at, bits, wide):
-            sets[i], wides[i] = x, y
-        return pd.DataFrame(rows | {"fp": fps, "bits": sets, "wide": wides})
+    def frame(df: pd.DataFrame, **more) -> pd.DataFrame:
+        return df.assign(**more)[[*marked, "pos", *DEALT]]
 
     def run(batches):
         (vals, counts), powers = sent.value, Powers()
+        maybe = np.zeros(filled, dtype=bool)
+        maybe[vals & (filled - 1)] = True
         for b in batches:
-            out, rows = [], 0
-            for node, t in zip(b["node"], b["text"]):
-                own = h = shingle_set(folded(t), powers)
-                if len(vals) and len(h):
-                    at = np.minimum(np.searchsorted(vals, h), len(vals) - 1)
-                    h = h[np.argsort(np.where(vals[at] == h, counts[at], 0), kind="stable")]
-                n = min(len(h), len(h) // 5 + 1)
-                out.append((np.full(n + 1, node), np.full(n + 1, len(h), dtype=np.int32), np.append(0, h[:n]), np.arange(-1, n, dtype=np.int32), set_fingerprint(own), set_bits(own), wide_bits(own)))
-                rows += n
+            own = [folded(t) for t in b["text"]]
+            out, prefixes, named, rows = [], [], [], 0
+            for node, t, h in zip(b["node"].tolist(), own, shingle_sets(own, powers)):
+                n, digest = min(len(h), len(h) // 5 + 1), xxhash.xxh128_digest(t)
+                out.append((node, len(h), digest.hex(), set_fingerprint(h), set_bits(h), wide_bits(h)))
+                if n and len(vals):
+                    at = np.flatnonzero(maybe[h & (filled - 1)])
+                    found = np.minimum(np.searchsorted(vals, h[at]), len(vals) - 1)
+                    rank = np.zeros(len(h), dtype=np.int64)
+                    rank[at] = np.where(vals[found] == h[at], counts[found], 0)
+                    rare = np.flatnonzero(rank == 0)
+                    h = h[rare[:n]] if len(rare) >= n else h[np.argsort(rank, kind="stable")]
+                if n:
+                    prefixes.append(h[:n])
+                    named.append((node, int.from_bytes(digest[:8], "little", signed=True), out[-1][1]))
+                    rows += n
                 if rows > PREFIX_ROWS:
-                    yield frame(out)
-                    out, rows = [], 0
-            if out:
-                yield frame(out)
+                    yield frame(_dealt(prefixes, named, parts), node=0, size=0, words=None, fp=0, bits=None, wide=None)
+                    prefixes, named, rows = [], [], 0
+            if prefixes:
+                yield frame(_dealt(prefixes, named, parts), node=0, size=0, words=None, fp=0, bits=None, wide=None)
+            yield frame(pd.DataFrame(out, columns=marked), pos=-1, **dict.fromkeys(DEALT))
+
+    schema = "node long, size int, words string, fp long, bits array<long>, wide array<long>, pos int, "
+    return texts.select("node", "text").mapInPandas(run, schema + ", ".join(f"{c} binary" for c in DEALT))
+
 
-    return texts.select("node", "text").mapInPandas(run, "node long, size int, val long, pos int, fp long, bits array<long>, wide array<long>")
+def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (node, text) whose node is among the wanted ones (node), repeated or not.
+
+    A bitmap of 16 bits or more for each wanted node is broadcast first, so that few other texts are shuffled.
+    """
+    bits = 1 << min(31, max(10, (16 * wanted.count() - 1).bit_length()))
+
+    def run(batches):
+        longs = np.zeros(bits // 64, dtype=np.uint64)
+        for b in batches:
+            h = b["h"].to_numpy().view(np.uint64)
+            for at in (h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)):
+                np.bitwise_or.at(longs, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        yield pd.DataFrame({"longs": [longs.view(np.int64)]})
+
+    filled = wanted.select(F.xxhash64("node").alias("h")).coalesce(1).mapInPandas(run, "longs array<long>")
+    h = F.xxhash64("node")
+    may = [F.call_function("shiftright", F.get("longs", F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1 for at in (h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1))]
+    near = texts.select("node", "text").join(F.broadcast(filled), may[0] & may[1]).drop("longs")
+    return near.join(wanted.distinct(), "node", "left_semi")
 
 
 def _pair(x, y, where):
@@ -337,8 +420,7 @@ def similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield b.loc[ok, ["a", "b"]]
 
-    named = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    content = texts.join(named, "node", "left_semi")
+    content = fetched(texts, left.select(F.explode(F.array("a", "b")).alias("node")))
     of = lambda k, t: content.select(F.col("node").alias(k), F.col("text").alias(t))
     return left.join(of("a", "s"), "a").join(of("b", "t"), "b").mapInPandas(check, "a long, b long")
 
@@ -351,15 +433,14 @@ def ring_pairs(texts: DataFrame, hot: int = HOT_SEGMENT) -> DataFrame:
     return _pair("a_node", "b_node", between).unionByName(_pair("least", "node", texts.select("node", "fp").join(least, "fp").where("node <> least")))
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, that several texts of a sample have, and how many. Whatever they are, the order they give is right; these keep crowds out of prefixes."""
-    chance = min(1.0, COMMON_TEXTS / max(1, texts.count()))
+def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that several texts of a sample of all, of which there are so many, have, and how many. Whatever they are, the order they give is right; these keep crowds out of prefixes."""
+    chance = min(1.0, COMMON_TEXTS / max(1, total))
 
     def run(batches):
         powers = Powers()
         for b in batches:
-            for t in b["text"]:
-                yield pd.DataFrame({"val": shingle_set(folded(t), powers)})
+            yield pd.DataFrame({"val": np.concatenate(shingle_sets([folded(t) for t in b["text"]], powers))})
 
     sample = texts.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**52)) / float(2**52) <= chance)
     counts = sample.select("text").mapInPandas(run, "val long").groupBy("val").agg(F.count("*").alias("n")).where("n > 1")
@@ -476,7 +557,7 @@ def crowd_links(crowd: DataFrame, marks: DataFrame, texts: DataFrame, block: int
     for bits in ("bits", F.coalesce("wide", "bits").alias("bits")):
         rows = able.join(marks.select("node", "size", bits), "node")
         able = freed(rows.groupBy("val", "op", "mp").applyInPandas(_block_rows, "val long, op long, mp long, node long, root long, open boolean"), "simhash-blocks")
-    return able.join(texts, "node").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
+    return able.join(fetched(texts, able.select("node")), "node").groupBy("val", "op", "mp").applyInPandas(_block_links, "a long, b long")
 
 
 def missed_links(rows: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
@@ -509,10 +590,26 @@ def missed_links(rows: DataFrame, marks: DataFrame, texts: DataFrame, roots: Dat
     return more.unionByName(forest(crowd_links(crowd, marks, texts, block)))
 
 
-def several_texts(keyed: DataFrame) -> DataFrame:
-    """Of the prefixes' shingles (val, node, size, pos), the distinct rows of those that come more than once."""
-    several = keyed.groupBy("val").agg(F.count("*").alias("n")).where("n > 1").select("val")
-    return freed(keyed.join(several, "val").distinct(), "simhash-several")
+def several_texts(dealt: DataFrame) -> DataFrame:
+    """Of the prefixes' shingles, as `sketches` deals them, those that several texts have: (val, node, size, pos), of exact copies only the least node's."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        val, pos, node, key, size, count = (np.frombuffer(b"".join(pdf[c]), dtype=kind) for c, kind in zip(DEALT, ("<i8", "<i4", "<i8", "<i8", "<i4", "<i4")))
+        run = np.repeat(np.arange(len(count)), count)
+        order = np.argsort(val)
+        twice = np.diff(val[order]) == 0
+        order = order[np.append(twice, False) | np.append(False, twice)]
+        val, pos, run = val[order], pos[order], run[order]
+        order = np.lexsort((node[run], key[run], val))
+        val, pos, run = val[order], pos[order], run[order]
+        new = np.append(True, np.diff(val) != 0)[: len(val)]
+        keep = new | np.append(True, np.diff(key[run]) != 0)[: len(val)]
+        val, pos, run = val[keep], pos[keep], run[keep]
+        twice = np.diff(val) == 0
+        keep = (np.append(twice, False) | np.append(False, twice))[: len(val)]
+        return pd.DataFrame({"val": val[keep], "node": node[run[keep]], "size": size[run[keep]], "pos": pos[keep]})
+
+    return freed(dealt.groupBy("part").applyInPandas(run, "val long, node long, size int, pos int"), "simhash-several")
 
 
 def _settled(roots: DataFrame) -> DataFrame:
@@ -528,12 +625,13 @@ def copies(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFra
     read several times: stage it first if it is dear to make.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    own = stage(word_hashes(docs), "simhash-words")
+    texts = docs.withColumnRenamed("doc_id", "node")
+    total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    told = freed(sketches(texts, common_shingles(texts, total.n), max(PARTS, total.bytes // PART_BYTES)), "simhash-sketches")
+    own = stage(told.where("pos < 0").select(F.col("node").alias("doc_id"), "words"), "simhash-words")
     least = stage(own.groupBy("words").agg(F.min("doc_id").alias("node")), "simhash-least")
-    texts = docs.withColumnRenamed("doc_id", "node").join(least.select("node"), "node", "left_semi")
-    told = freed(sketches(texts, common_shingles(texts)), "simhash-sketches")
-    marks = stage(told.where("pos < 0").select("node", "size", "fp", "bits", "wide"), "simhash-marks")
-    rows = several_texts(told.where("pos >= 0").select("val", "node", "size", "pos"))
+    marks = stage(told.where("pos < 0").join(least, ["words", "node"], "left_semi").select("node", "size", "fp", "bits", "wide"), "simhash-marks")
+    rows = several_texts(told.where("pos >= 0").select(F.col("pos").alias("part"), *DEALT))
     discard(told)
     ring = components(similar(ring_pairs(marks), marks, texts), "simhash-ring")
     release(docs.sparkSession)

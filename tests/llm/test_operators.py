@@ -681,3 +681,24 @@ def test_wide_bitmaps_of_two_lengths_drop_no_near_copy(spark):
     assert {r.node: r.n for r in marks.selectExpr("node", "size(wide) n").collect() if r.n} == {1: 32, 2: 64, 3: 64, 4: 64}
     pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
     assert [(r.a, r.b) for r in simhash.similar(pairs, marks, table).collect()] == [(1, 2)]
+
+
+def test_copies_are_packed_without_shuffling_all_texts(spark):
+    rng = random.Random(91)
+    texts = [" ".join(f"{rng.getrandbits(160):040x}" for _ in range(200)) for _ in range(200)]
+    texts += [texts[0], texts[1] + " tail"]
+    table = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(4)
+    assert sorted(r.node for r in simhash.fetched(table.withColumnRenamed("doc_id", "node"), spark.createDataFrame([(7,), (9,), (9,), (-1,)], "node long")).collect()) == [7, 9]
+    folder = common.stage(table, "test-packed")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        held = sc.statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = shuffled()
+    out = packing.of_copies(folder).collect()
+    assert shuffled() - before < sum(map(len, texts)) / 2
+    cluster = {r.doc_id: r.cluster for r in out}
+    assert len(out) == len(texts) and cluster[200] == cluster[0] and cluster[201] == cluster[1] and len(set(cluster.values())) == 200
