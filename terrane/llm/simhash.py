@@ -35,8 +35,8 @@ PAIRED, BLOCK = 32, 512
 COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
 #: Shingles of prefixes that a task sends on at once; words of a text hashed at once; shingles compared at once in a block.
 PREFIX_ROWS, PIECE_WORDS, COLUMNS = 1 << 18, 1 << 15, 1 << 13
-#: Bytes of short texts hashed at once. Prefixes are dealt by shingle to so many parts at least, one for so many bytes of text.
-TOGETHER, PARTS, PART_BYTES = 1 << 17, 32, 1 << 25
+#: Bytes of short texts hashed at once, and texts a task holds the shingles of meanwhile. Prefixes are dealt by shingle to so many parts at least, one for so many bytes of text.
+TOGETHER, HELD, PARTS, PART_BYTES = 1 << 17, 256, 32, 1 << 25
 #: Columns of a part of the prefixes: its shingles with their places in the prefix; of its texts the nodes, keys, sizes and counts of shingles.
 DEALT = ("vals", "places", "nodes", "keys", "sizes", "counts")
 #: Longs of the bitmap of a text's shingles, a power of two (texts with more shingles than half its bits have a wide one too); sets of shingles that a task keeps while it checks pairs.
@@ -315,14 +315,18 @@ def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int
     def frame(df: pd.DataFrame, **more) -> pd.DataFrame:
         return df.assign(**more)[[*marked, "pos", *DEALT]]
 
+    def read(b: pd.DataFrame, powers: Powers):
+        for i in range(0, len(b), HELD):
+            own = [folded(t) for t in b["text"].iloc[i : i + HELD]]
+            yield from zip(b["node"].iloc[i : i + HELD].tolist(), own, shingle_sets(own, powers))
+
     def run(batches):
         (vals, counts), powers = sent.value, Powers()
         maybe = np.zeros(filled, dtype=bool)
         maybe[vals & (filled - 1)] = True
         for b in batches:
-            own = [folded(t) for t in b["text"]]
             out, prefixes, named, rows = [], [], [], 0
-            for node, t, h in zip(b["node"].tolist(), own, shingle_sets(own, powers)):
+            for node, t, h in read(b, powers):
                 n, digest = min(len(h), len(h) // 5 + 1), xxhash.xxh128_digest(t)
                 out.append((node, len(h), digest.hex(), set_fingerprint(h), set_bits(h), wide_bits(h)))
                 if n and len(vals):
@@ -440,7 +444,8 @@ def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarra
     def run(batches):
         powers = Powers()
         for b in batches:
-            yield pd.DataFrame({"val": np.concatenate(shingle_sets([folded(t) for t in b["text"]], powers))})
+            for i in range(0, len(b), HELD):
+                yield pd.DataFrame({"val": np.concatenate(shingle_sets([folded(t) for t in b["text"].iloc[i : i + HELD]], powers))})
 
     sample = texts.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(2**52)) / float(2**52) <= chance)
     counts = sample.select("text").mapInPandas(run, "val long").groupBy("val").agg(F.count("*").alias("n")).where("n > 1")
