@@ -698,7 +698,11 @@ def test_copies_are_packed_without_shuffling_all_texts(spark):
         return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
 
     before = shuffled()
-    out = packing.of_copies(folder).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")  # texts are too many to broadcast
+    try:
+        out = packing.of_copies(folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert shuffled() - before < sum(map(len, texts)) / 2
     cluster = {r.doc_id: r.cluster for r in out}
     assert len(out) == len(texts) and cluster[200] == cluster[0] and cluster[201] == cluster[1] and len(set(cluster.values())) == 200
