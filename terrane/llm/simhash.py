@@ -14,6 +14,8 @@ of each. Only shingles that stand in texts of several components are looked at.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,6 +39,8 @@ COMMON_MOST, COMMON_TEXTS = 1 << 16, 5000
 PREFIX_ROWS, PIECE_WORDS, COLUMNS = 1 << 18, 1 << 15, 1 << 13
 #: Bytes of short texts hashed at once, and texts a task holds the shingles of meanwhile. Prefixes are dealt by shingle to so many parts at least, one for so many bytes of text.
 TOGETHER, HELD, PARTS, PART_BYTES = 1 << 17, 256, 32, 1 << 25
+#: Rows that Python functions get at once while copies are sought: what a task holds of texts on both sides doesn't grow with its partition.
+BATCH_ROWS = 2048
 #: Columns of a part of the prefixes: its shingles with their places in the prefix; of its texts the nodes, keys, sizes and counts of shingles.
 DEALT = ("vals", "places", "nodes", "keys", "sizes", "counts")
 #: Longs of the bitmap of a text's shingles, a power of two (texts with more shingles than half its bits have a wide one too); sets of shingles that a task keeps while it checks pairs.
@@ -195,6 +199,18 @@ def freed(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def in_batches(spark, rows: int = BATCH_ROWS):
+    """Meanwhile Python functions get so many rows at once, or fewer if the session has it so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shingle_set(words: bytes, powers: Powers) -> np.ndarray:
     """Ascending distinct hashes, as signed longs, of the shingles of VERIFIED_SHINGLE words of a folded text; fewer words: the whole; none: none."""
     if not words:
@@ -351,11 +367,8 @@ def sketches(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int
     return texts.select("node", "text").mapInPandas(run, schema + ", ".join(f"{c} binary" for c in DEALT))
 
 
-def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows (node, text) whose node is among the wanted ones (node), repeated or not.
-
-    A bitmap of 16 bits or more for each wanted node is broadcast first, so that few other texts are shuffled.
-    """
+def _bitmap(wanted: DataFrame):
+    """A table of one row at most, to be broadcast, with a bitmap (longs) of 16 bits or more for each wanted node (node), repeated or not; and whether it shows a row's node, which it does for all wanted ones and few others."""
     bits = 1 << min(31, max(10, (16 * wanted.count() - 1).bit_length()))
 
     def run(batches):
@@ -369,8 +382,28 @@ def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     filled = wanted.select(F.xxhash64("node").alias("h")).coalesce(1).mapInPandas(run, "longs array<long>")
     h = F.xxhash64("node")
     may = [F.call_function("shiftright", F.get("longs", F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1 for at in (h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1))]
-    near = texts.select("node", "text").join(F.broadcast(filled), may[0] & may[1]).drop("longs")
-    return near.join(wanted.distinct(), "node", "left_semi")
+    return F.broadcast(filled), may[0] & may[1]
+
+
+def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (node, ...) whose node is among the wanted ones (node), repeated or not.
+
+    A bitmap of the wanted nodes is broadcast first, so that few other rows are shuffled.
+    """
+    filled, may = _bitmap(wanted)
+    return rows.join(filled, may).drop("longs").join(wanted.distinct(), "node", "left_semi")
+
+
+def without(rows: DataFrame, gone: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows (node, ...) whose node is not among those gone (node); others (node) are all the other nodes, and rows without a node stay.
+
+    What a bitmap of those gone does not show stays where it is. The few others that it shows are fetched, so that
+    hardly a row is shuffled, however many go or stay.
+    """
+    filled, may = _bitmap(gone)
+    shown = freed(others.join(filled, may).select("node"), "simhash-shown")
+    stay = rows.join(filled, F.lit(True), "left").where(F.col("node").isNull() | ~F.coalesce(may, F.lit(False))).drop("longs")
+    return stay.unionByName(fetched(rows, shown))
 
 
 def _pair(x, y, where):
@@ -629,6 +662,11 @@ def copies(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> DataFra
     document; rows without doc_id are left out; an empty table gives an empty result; other columns are not read. docs is
     read several times: stage it first if it is dear to make.
     """
+    with in_batches(docs.sparkSession):
+        return _copies(docs, paired, block)
+
+
+def _copies(docs: DataFrame, paired: int, block: int) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     texts = docs.withColumnRenamed("doc_id", "node")
     total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
@@ -655,5 +693,6 @@ def deduplicated(docs: DataFrame, paired: int = PAIRED, block: int = BLOCK) -> D
     Null and blank texts are one group; very long texts are compared whole; an empty table stays empty; a column of any
     other name passes through as it is.
     """
-    kept = copies(docs, paired, block).where("doc_id = root").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = copies(docs, paired, block).withColumnRenamed("doc_id", "node")
+    rows = docs.select(F.col("doc_id").alias("node"), F.struct("*").alias("row"))
+    return without(rows, found.where("node <> root").select("node"), found.where("node = root").select("node")).select("row.*")

@@ -706,3 +706,41 @@ def test_copies_are_packed_without_shuffling_all_texts(spark):
     assert shuffled() - before < sum(map(len, texts)) / 2
     cluster = {r.doc_id: r.cluster for r in out}
     assert len(out) == len(texts) and cluster[200] == cluster[0] and cluster[201] == cluster[1] and len(set(cluster.values())) == 200
+
+
+def test_deduplicated_shuffles_few_texts(spark):
+    rng = random.Random(17)
+    texts = [" ".join(f"{rng.getrandbits(160):040x}" for _ in range(60)) for _ in range(600)]
+    rows = [(i, t, i, "r") for i, t in enumerate(texts)] + [(600 + i, t if i % 2 else t.upper(), i, "r") for i, t in enumerate(texts[:120])] + [(None, texts[0], None, None), (7, texts[7], 7, "again")]
+    folder = common.stage(spark.createDataFrame(rows, "doc_id long, text string, longs int, row string").repartition(4), "test-deduplicated")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        held = sc.statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # neither the nodes that go nor those that stay are few enough to broadcast
+    try:
+        found = common.stage(simhash.copies(folder), "test-copies")
+        ids = lambda where: found.where(where).selectExpr("doc_id node")
+        bitmap, may = simhash._bitmap(ids("doc_id <> root"))
+        shown = {r.node for r in ids("doc_id = root").join(bitmap, may).collect()}
+        before = shuffled()
+        simhash.copies(folder).collect()
+        without, before = shuffled() - before, shuffled()
+        kept = simhash.deduplicated(folder)
+        out = kept.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept.schema == folder.schema
+    assert shown and max(shown) < 600  # some that stay look like those that go
+    assert sorted(map(tuple, out), key=str) == sorted((r for r in rows if r[0] is None or r[0] < 600), key=str)
+    assert shuffled() - before - without < sum(map(len, texts)) / 10
+
+
+def test_without_keeps_all_if_none_go_and_none_if_all_go(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "node long, row string")
+    all_, none = rows.select("node").where("node > 0"), common.stage(rows.select("node").where("false"), "test-none")
+    same(got(simhash.without(rows, none, all_)), [(1, "a"), (2, "b"), (None, "c")])
+    same(got(simhash.without(rows, all_, none)), [(None, "c")])
