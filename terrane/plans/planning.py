@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,18 +21,8 @@ def zone_knapsack(spark, d):
         for b in batches:
             yield routing.plane_table(b, 4, 40.0, 45.0)
 
-    found = staged(zones.mapInPandas(options, "zone long, days long, p1 long, p2 long, travel double"), "options")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        by: dict[str, list] = {}
-        for r in pdf.sort_values(["zone", "days"]).itertuples():
-            by.setdefault(str(r.zone), []).append(((int(r.p1), int(r.p2)), r.travel))
-        dealt = routing.deal(by, (3 * len(by)) // 2)
-        nation = int(pdf["nation"].iloc[0])
-        return pd.DataFrame([(nation, int(z), n, *by[z][n][0], by[z][n][1]) for z, n in dealt.items()], columns=["nation", "zone", "days", "p1", "p2", "travel"])
-
-    nation = F.shiftright("zone", 24)  # a nation's band: at most some thousand zones
-    return found.withColumn("nation", nation).groupBy("nation").applyInPandas(deal, "nation long, zone long, days long, p1 long, p2 long, travel double")
+    found = zones.mapInPandas(options, "zone long, days long, p1 long, p2 long, travel double").withColumn("nation", F.shiftright("zone", 44))
+    return routing.deal_groups(staged(found, "options"), "nation", F.expr("zones * 3 div 2")).select("nation", "zone", "days", "p1", "p2", "travel")
 
 
 @query()

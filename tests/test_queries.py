@@ -110,6 +110,25 @@ def test_days_dealt_by_gain_equal_allocate():
     assert sum(routing.deal(many, 30_000).values()) == 30_000
 
 
+def test_days_dealt_in_groups_equal_allocate(spark):
+    rng, rows, want = random.Random(4), [], []
+    for g, zones in enumerate((1, 2, 3, 9, 40)):
+        options = {}
+        for z in rng.sample(range(95, 95 + 3 * zones), zones):
+            p, q, t = rng.randint(0, 3), rng.randint(0, 2), rng.randint(1, 9) / 8
+            more = (rng.randint(0, p), rng.randint(0, q)) if p or q else (0, 0)
+            first = ((p, q), t if p or q else 0.0)
+            options[str(g * 1000 + z)] = [((0, 0), 0.0), first, ((p + more[0], q + more[1]), first[1] + (t + rng.randint(0, 3) / 8 if any(more) else 0.0))]
+        rows += [(g, int(z), n, *tiers, cost) for z, by in options.items() for n, (tiers, cost) in enumerate(by)]
+        dealt = routing.allocate(options, 3 * zones // 2, 0)
+        want += [(g, int(z), n, *options[z][n][0], options[z][n][1]) for z, n in dealt.items()]
+    schema = "g long, zone long, days long, p1 long, p2 long, travel double"
+    deal = lambda rows: routing.deal_groups(spark.createDataFrame(rows, schema), "g", F.expr("zones * 3 div 2"))
+    assert sorted(map(tuple, deal(rows).select("g", "zone", "days", "p1", "p2", "travel").collect())) == sorted(want)
+    with pytest.raises(Exception, match="a day gains more than the one before"):
+        deal([(0, 1, 0, 0, 0, 0.0), (0, 1, 1, 1, 0, 1.0), (0, 1, 2, 3, 0, 2.0)]).collect()
+
+
 def test_rounding_of_arrays_equals_python():
     rng = random.Random(10)
     xs = np.array([rng.randint(0, 10**6) / 16 for _ in range(500)] + [rng.randint(0, 10**7) * 0.0015 for _ in range(500)] + [rng.random() * 500 for _ in range(500)])
@@ -171,6 +190,27 @@ def test_every_customer_stands_in_one_zone(spark, monkeypatch, band):
     assert 2 <= min(sizes.values()) and max(sizes.values()) <= routing.MAX_CANDIDATES
 
 
+def test_zones_and_route_days_know_no_switch_by_size(spark, monkeypatch):
+    """However many customers one task sorts, they stand in the same zones, and each nation's days are dealt among all its zones."""
+    d, zones, dealt = DATA.replace("0.001", "0.01"), [], []
+    for band in (100_000, 300):
+        monkeypatch.setattr(routes, "BAND_SITES", band)
+        zones.append(sorted((r.zone, r.id) for r in routes._sites(spark, d).collect()))
+        dealt.append(sorted(map(tuple, registry.QUERIES["zone_knapsack"](spark, d).collect())))
+    assert zones[0] == zones[1] and dealt[0] == dealt[1]
+    nation_of = {r.c_custkey: r.c_nationkey for r in registry.read(spark, d, "customer").collect()}
+    assert {(z >> 44, z) for z, _ in zones[0]} == {(nation_of[i], z) for z, i in zones[0]} == {r[:2] for r in dealt[0]}
+
+
+def test_customers_without_a_nation_stand_in_zones(spark, tmp_path):
+    c = registry.read(spark, DATA, "customer").withColumn("c_nationkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")))
+    c.write.parquet(str(tmp_path / "customer.parquet"))
+    rows = routes._sites(spark, str(tmp_path)).collect()
+    sizes = {z: sum(r.zone == z for r in rows) for z in {r.zone for r in rows}}
+    assert len(rows) == c.count() and None not in sizes and max(sizes.values()) <= 8
+    assert {r.zone for r in registry.QUERIES["zone_knapsack"](spark, str(tmp_path)).collect()} == set(sizes)
+
+
 def test_route_plans_know_only_their_zones_sites(spark):
     zone_of = {str(r.id): r.zone for r in routes._sites(spark, DATA).collect()}
     seen = [(r.method, s, r.zone) for r in registry.QUERIES["route_plans"](spark, DATA).collect() for s in r.stops.split(">")]
